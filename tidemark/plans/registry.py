@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import dates
+from tidemark.plans import dates, grammar, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**dates.QUERIES}
-ORACLE: dict[str, str] = {**dates.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.QUERIES, **grammar.QUERIES, **dates.QUERIES}
+ORACLE: dict[str, str] = {**retrieval.ORACLE, **grammar.ORACLE, **dates.ORACLE}
