@@ -199,7 +199,7 @@ ORACLE = {
     "word_filter": _TOKENS + r"SELECT token, n FROM k WHERE regexp_full_match(token, '\p{L}+')",
     "number_filter": _TOKENS + r"SELECT token, n FROM (SELECT token, n, replace(token, '$', '') AS t FROM k) WHERE regexp_full_match(t, '[0-9][0-9,]*(\.[0-9,]*)?%?|[0-9,.]*/[0-9]+%?|[0-9,%/]*\.?[0-9,%/]*(m|bn)') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '\..*\.')",
     "sgml_fields": r"""
-SELECT doc_id, title, CASE WHEN l = 'The' THEN '' ELSE l END AS language, date, 'b ' || title || ' /b' AS text FROM (
+SELECT doc_id, title, CASE WHEN l = 'The' THEN '' ELSE l END AS language, date, rtrim('b ' || title) || ' /b' AS text FROM (
   SELECT doc_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title,
     upper(w[1]) || lower(w[2:]) AS l, strftime(received_at, '%Y-%m-%d') AS date
   FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE trim(doc_lang) <> '' AND title IS NOT NULL AND received_at IS NOT NULL) WHERE k = 1)""",
