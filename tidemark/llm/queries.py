@@ -112,9 +112,11 @@ _TERMS = r"""
 WITH raw AS (
   SELECT doc_id, t.term AS term, t.tf AS tf FROM (SELECT doc_id, unnest(terms_in_doc) AS t FROM docs)
   UNION ALL SELECT doc_id, term, tf FROM postings),
+clean AS (SELECT trim(term) AS t, doc_id, CASE WHEN tf > 0 THEN tf ELSE 1 END AS tf FROM raw WHERE trim(term) <> '' AND doc_id IS NOT NULL),
 spelt AS (
-  SELECT lower(trim(term)) AS term_key, trim(term) AS spelling, doc_id, max(CASE WHEN tf > 0 THEN tf ELSE 1 END) AS tf
-  FROM raw WHERE trim(term) <> '' AND doc_id IS NOT NULL GROUP BY ALL),
+  SELECT lower(t) AS term_key, doc_id, max(tf) AS tf,
+    CASE WHEN t = lower(t) THEN 0 WHEN t = upper(t) THEN 1 WHEN t[1] = upper(t[1]) AND t[2:] = lower(t[2:]) THEN 2 ELSE 3 END AS form
+  FROM clean GROUP BY ALL),
 freq AS (
   SELECT term_key, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(count(DISTINCT doc_id) AS BIGINT) AS records FROM spelt GROUP BY term_key),
 marked AS (

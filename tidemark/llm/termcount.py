@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.runtime import materialize
@@ -22,6 +22,8 @@ from tidemark.runtime import materialize
 BURST = 512
 #: Rows gathered before they are put into the trie, pre-aggregated.
 GATHER = 200_000
+#: White space at the ends of a term.
+EDGE = " \t\n\x0b\f\r\u00a0"
 _SCHEMA = "term string, occurrences bigint, records bigint"
 
 
@@ -130,27 +132,25 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["term", "occurrences", "records"])
 
 
-def term_key(c: Column) -> Column:
-    """The term trimmed of white space and lower-cased."""
-    return F.lower(F.regexp_replace(c, "^[\\s\\u00a0]+|[\\s\\u00a0]+$", ""))
-
-
 def term_frequencies(pairs: DataFrame) -> DataFrame:
     """Occurrences and distinct records of every term.
 
     ``pairs`` has the columns term, record and tf, with one row per spelling, copy
-    and delivery; it is first reduced to one row per (term key, record). Equal rows
-    (same spelling, record and tf) are copies and count once, spellings add up, and
-    if sources disagree the largest tf of a spelling counts; a null or negative tf
-    counts as one occurrence. Null and blank terms and null records are left out.
-    The result has the columns term_key, occurrences and records. Extra columns of
-    ``pairs`` are ignored.
+    and delivery; it is first reduced to one row per (term key, record). Of each form
+    of a spelling (lower case, upper case, capitalised, mixed) the largest tf in the
+    record counts, so copies count once and sources that agree count once; the forms
+    add up. A null or non-positive tf counts as one occurrence. Null and blank terms
+    and null records are left out. The result has the columns term_key, occurrences
+    and records. Extra columns of ``pairs`` are ignored.
     """
-    count = F.when(F.col("tf") > 0, F.col("tf")).otherwise(1).cast("bigint")
-    clean = pairs.select(term_key(F.col("term")).alias("key"), F.xxhash64(F.trim("term")).alias("spelling"), F.col("record"), count.alias("tf")).where("key <> '' and record is not null")
-    # Copies collapse on the map side, so no pair is hot in the shuffle; a common term is spread over its records.
-    spelt = clean.groupBy("key", "record", "spelling").agg(F.max("tf").alias("tf"))
-    per_record = spelt.groupBy("key", "record").agg(F.sum("tf").alias("occurrences")).select(F.col("key").alias("term"), "occurrences", F.lit(1).cast("bigint").alias("records"))
+    count = F.when(F.col("tf") > 0, F.col("tf")).otherwise(1).cast("int")
+    t, first = F.col("term"), F.substring("term", 1, 1)
+    form = F.when(t == F.lower(t), 0).when(t == F.upper(t), 1).when((first == F.upper(first)) & (F.substr(t, F.lit(2)) == F.lower(F.substr(t, F.lit(2)))), 2).otherwise(3)
+    clean = pairs.select(F.trim("term", F.lit(EDGE)).alias("term"), "record", count.alias("tf")).where("term <> '' and record is not null").select(F.lower("term").alias("key"), "record", "tf", form.alias("form"))
+    # One exchange, on the pair; copies collapse before it, so no pair is hot, and a common term is spread over its records.
+    forms = clean.groupBy("key", "record").agg(*[F.max(F.when(F.col("form") == k, F.col("tf"))).alias(f"f{k}") for k in range(4)])
+    total = sum((F.coalesce(F.col(f"f{k}"), F.lit(0)) for k in range(4)), F.lit(0).cast("bigint"))
+    per_record = forms.select(F.col("key").alias("term"), total.alias("occurrences"), F.lit(1).cast("bigint").alias("records"))
     partial = materialize(per_record.mapInArrow(_accumulate, _SCHEMA), "terms")
     return partial.repartitionByRange("term").mapInArrow(_accumulate, _SCHEMA).withColumnRenamed("term", "term_key")
 
