@@ -179,9 +179,8 @@ def _pad(c: Column, n: int) -> Column:
 
 def utc_text(us: Column) -> Column:
     """Microseconds since 1970 as ``YYYY-MM-DDTHH:MM:SS.ffffffZ``, whatever the session's zone."""
-    days = F.floor(us / F.lit(float(DAY_US))).cast("bigint")
-    days = F.when(us < days * DAY_US, days - 1).otherwise(F.when(us >= (days + 1) * DAY_US, days + 1).otherwise(days))
-    rest = us - days * DAY_US
+    rest = F.pmod(us, F.lit(DAY_US))
+    days = F.round((us - rest) / DAY_US).cast("bigint")
     sec = ((rest - rest % 1_000_000) / 1_000_000).cast("bigint")
     part = lambda c: _pad(c.cast("bigint"), 2)
     clock = F.concat(part(F.floor(sec / 3600)), F.lit(":"), part(F.floor(sec % 3600 / 60)), F.lit(":"), part(sec % 60), F.lit("."), _pad(rest % 1_000_000, 6))
@@ -228,5 +227,7 @@ def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFra
     ymd = [_pad(F.col("_p.y"), 4), _pad(F.col("_p.mo"), 2), _pad(F.col("_p.d"), 2)]
     kind = F.col("_p.kind")
     text = F.when(F.col("_utc").isNotNull(), utc_text(F.col("_utc"))).when(kind == "date", F.concat_ws("-", *ymd)).when(kind == "year", ymd[0]).when(kind == "month_day", F.concat_ws("-", *ymd[1:]))
-    how = F.when(text.isNull(), "unresolved").when(is_time & fixed.isNull() & (n > 1), "ambiguous").when(is_time & fixed.isNull() & (n == 0), "nonexistent").when(is_time | (kind == "epoch"), "exact").otherwise(kind)
+    # Told from the parts, not from the text, so that a filter on it stays small when it is pushed down.
+    resolved = F.col("_utc").isNotNull() | F.coalesce(kind.isin("date", "year", "month_day"), F.lit(False))
+    how = F.when(~resolved, "unresolved").when(is_time & fixed.isNull() & (n > 1), "ambiguous").when(is_time & fixed.isNull() & (n == 0), "nonexistent").when(is_time | (kind == "epoch"), "exact").otherwise(kind)
     return p.select(*[F.col(f"`{c}`") for c in df.columns], text.alias(out), how.alias(status))

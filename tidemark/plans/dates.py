@@ -21,7 +21,7 @@ def p2_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The dates that can be resolved."""
-    return p2_dates(spark, sf).where("norm_date is not null").select("rec_id", "norm_date").distinct()
+    return p2_dates(spark, sf).where("date_status <> 'unresolved'").select("rec_id", "norm_date").distinct()
 
 
 QUERIES = {"p2_found": p2_found, "p2_dates": p2_dates}
