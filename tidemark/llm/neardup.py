@@ -3,12 +3,13 @@
 Every fingerprint is a short string of symbols (min-hashes of the text's shingles).
 It emits all variants inside its ball: the fingerprint with up to RADIUS symbols
 masked. Two fingerprints whose symbols differ in at most RADIUS places meet in a
-common variant, whichever the places are. Pairs that collide are deduplicated and
-verified exactly on the whole shingle sets.
+common variant, whichever the places are. Pairs that collide are screened by a bit
+sketch, deduplicated and verified exactly on the whole shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,6 +22,8 @@ from tidemark.runtime import materialize
 
 #: Symbols of a fingerprint, how many may be masked, and fingerprints of a text.
 SYMBOLS, RADIUS, TABLES = 6, 2, 9
+#: Bits of a text's sketch, one per min-hash, by which colliding pairs are screened.
+BITS = 128
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,21 +72,25 @@ def shingle_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 def _variants(symbols: int, radius: int, tables: int, seed: int = 1):
     keep = [list(c) for c in combinations(range(symbols), symbols - radius)]
+    used = symbols * tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        a = rng.integers(1, 2**63, symbols * tables, dtype=np.uint64) | np.uint64(1)
+        a = rng.integers(1, 2**63, max(used, BITS), dtype=np.uint64) | np.uint64(1)
         for b in batches:
+            if not b.num_rows:
+                continue
             col = b.column(1)
             off = col.offsets.to_numpy()
             flat = col.values.to_numpy(zero_copy_only=False).view(np.uint64)
             n = b.num_rows
-            sig = np.empty((n, symbols * tables), dtype=np.uint64)
+            sig = np.empty((n, len(a)), dtype=np.uint64)
             starts = off[:-1] - off[0]
             flat = flat[off[0] : off[-1]]
-            for j in range(symbols * tables):
-                sig[:, j] = np.minimum.reduceat(_mix(flat * a[j]), starts)
-            sig = sig.reshape(n, tables, symbols)
+            for j, m in enumerate(a):
+                sig[:, j] = np.minimum.reduceat(_mix(flat * m), starts)
+            bits = np.packbits((_mix(sig[:, :BITS]) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            sig = sig[:, :used].reshape(n, tables, symbols)
             keys = []
             for t in range(tables):
                 for v, places in enumerate(keep):
@@ -93,11 +100,17 @@ def _variants(symbols: int, radius: int, tables: int, seed: int = 1):
                     keys.append(h.view(np.int64))
             all_keys = np.stack(keys, axis=1).reshape(-1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(keys)), pa.array(all_keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["rep", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], names=["nid", "keys", "s1", "s2"])
 
     return run
 
 
+def most_bits(threshold: float) -> int:
+    """Differing sketch bits that a pair at the threshold stays under but for one in some 100,000."""
+    p = (1 - threshold) / 2
+    return math.ceil(BITS * p + 4.5 * math.sqrt(BITS * p * (1 - p)))
+
+
 class NearDuplicates:
     """Near-duplicate structure of a collection: classes of equal sets, and links between classes.
 
@@ -115,24 +128,24 @@ class NearDuplicates:
     """
 
     def __init__(self, texts: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, symbols: int = SYMBOLS, radius: int = RADIUS, tables: int = TABLES) -> None:
-        spark = texts.sparkSession
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
         sets = shingle_sets(texts.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull()), key, text, width).where(F.size("shingles") > 0)
-        sets = sets.withColumn("sum", F.xxhash64("shingles"))
+        same = ["sum", "n", "low"]
+        sets = sets.select("id", "shingles", F.xxhash64("shingles").alias("sum"), F.size("shingles").alias("n"), F.get("shingles", F.lit(0)).alias("low"))
         self.sets = materialize(sets, "sets")
-        first = self.sets.groupBy("sum").agg(F.min("id").alias("rep"))
-        self.classes = self.sets.select("id", "sum").join(first, "sum").select("id", "rep").distinct()
-        reps = self.sets.join(first, (F.col("id") == F.col("rep")) & (self.sets["sum"] == first["sum"]), "left_semi").dropDuplicates(["id"]).select(F.col("id").alias("rep"), "shingles")
-        self.reps = materialize(reps.repartition(parts, "rep").sortWithinPartitions("rep"), "reps")
-        kind = self.reps.schema["rep"].dataType.simpleString()
-        keyed = self.reps.mapInArrow(_variants(symbols, radius, tables), f"rep {kind}, keys array<bigint>")
-        keyed = keyed.select("rep", F.explode("keys").alias("k"))
-        a, b = keyed.select("k", F.col("rep").alias("rep_a")), keyed.select("k", F.col("rep").alias("rep_b"))
-        candidates = a.join(b, "k").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-        ra = self.reps.select(F.col("rep").alias("rep_a"), F.col("shingles").alias("sa"))
-        rb = self.reps.select(F.col("rep").alias("rep_b"), F.col("shingles").alias("sb"))
+        # Copies collapse on the map side; the sets themselves are shuffled once.
+        reps = self.sets.groupBy(*same).agg(F.min("id").alias("rep"), F.first("shingles").alias("shingles"))
+        self.reps = materialize(reps.withColumn("nid", F.monotonically_increasing_id()), "reps")
+        self.classes = self.sets.select("id", *same).join(self.reps.select("rep", *same), same).select("id", "rep").distinct()
+        keyed = self.reps.select("nid", "shingles").mapInArrow(_variants(symbols, radius, tables), "nid bigint, keys array<bigint>, s1 bigint, s2 bigint")
+        keyed = keyed.select("nid", "s1", "s2", F.explode("keys").alias("k"))
+        side = lambda x: keyed.select("k", *[F.col(c).alias(c + x) for c in ("nid", "s1", "s2")])
+        differ = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
+        # Screened where the pair is made, so that chance collisions are never shuffled.
+        candidates = side("a").join(side("b"), "k").where((F.col("nida") < F.col("nidb")) & (differ <= most_bits(threshold))).select("nida", "nidb").distinct()
+        ra = self.reps.select(F.col("nid").alias("nida"), F.col("shingles").alias("sa"), F.col("rep").alias("ra"))
+        rb = self.reps.select(F.col("nid").alias("nidb"), F.col("shingles").alias("sb"), F.col("rep").alias("rb"))
         shared = F.size(F.array_intersect("sa", "sb"))
-        scored = candidates.join(ra, "rep_a").join(rb, "rep_b").select("rep_a", "rep_b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
+        scored = candidates.join(ra, "nida").join(rb, "nidb").select(F.least("ra", "rb").alias("rep_a"), F.greatest("ra", "rb").alias("rep_b"), (shared / (F.size("sa") + F.size("sb") - shared)).alias("similarity"))
         self.links = materialize(scored.where(F.col("similarity") >= threshold), "links")
 
     def pairs(self) -> DataFrame:
