@@ -193,8 +193,12 @@ def train(df: DataFrame, text: str, label: str, per_language: int = TRAIN_PER_LA
     the bundle. A language without rows gets a zero prototype and is never chosen.
     """
     rows = df.select(label_language(F.col(f"`{label}`")).alias("lang"), F.col(f"`{text}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}{2}") & (F.length("text") <= max_chars))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    kept = rows.dropDuplicates(["lang", "text"]).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_language)
+    # The share of the hash range that holds the sample is known from counts, so only about the sample is shuffled.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    at = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.5 * (per_language + 20) / n) * (1 << 30)))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    w = Window.partitionBy("lang").orderBy(at, "text")
+    kept = rows.where(at < F.element_at(limit, F.col("lang"))).dropDuplicates(["lang", "text"]).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_language)
     bundles = {r["lang"]: np.array(r["prototype"]) for r in kept.groupBy("lang").applyInPandas(_train(dim), "lang string, prototype array<double>").collect()}
     unit = np.array([bundles[x] / max(1e-9, np.linalg.norm(bundles[x])) if x in bundles else np.zeros(dim) for x in LANGUAGES])
     short = kept.where((F.col("_k") <= refine_per_language) & (F.length("text") <= 4000)).orderBy("lang", "_k").select("lang", "text").collect()
