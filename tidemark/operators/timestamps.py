@@ -8,6 +8,7 @@ nonexistent one, one gives the offset directly.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -24,6 +25,18 @@ DAY_US = 86_400_000_000
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _INTERVALS = "zone string, year int, spans array<struct<lo: bigint, hi: bigint, off: bigint>>"
 _UNREAD = "[0-9Xx]*[Xx?_-][0-9Xx?_-]*"
+_NAME = "[A-Za-z]{3,9}"
+#: Dates by shape; the groups are year, month and day, or the two parts whose order the writer's habit decides.
+SHAPES = (
+    "(?<y1>\\d{4})-(?<m1>\\d{2})-(?<d1>\\d{2})",
+    "(?<y2>\\d{4}|\\d{2})(?<m2>\\d{2})(?<d2>\\d{2})",
+    "(?<d3>\\d{1,2})\\.(?<m3>\\d{1,2})\\.(?<y3>\\d{4}|\\d{2})",
+    f"(?<m4>{_NAME})\\.? (?<d4>\\d{{1,2}}),? (?:(?<y4>\\d{{4}}|\\d{{2}})|{_UNREAD})",
+    f"(?<d5>\\d{{1,2}})[ -](?<m5>{_NAME})\\.?[ -](?:(?<y5>\\d{{4}}|\\d{{2}})|{_UNREAD})",
+    "0+ 0+ (?<y6>\\d{4}|\\d{2})",
+    "(?<y7>\\d{4})",
+    "(?<a8>\\d{1,2})/(?<b8>\\d{1,2})/(?<y8>\\d{4}|\\d{2})",
+)
 
 
 def _spans(name: str) -> list[tuple[float, float, int]]:
@@ -122,35 +135,17 @@ def parse(df: DataFrame, value: str, order: Column) -> DataFrame:
     t = lambda i: F.get(F.col("_t"), F.lit(i))
 
     day = t(0)
-    first, second = ("$2", "$1")
-    shapes = [
-        ("^(\\d{4})-(\\d{2})-(\\d{2})$", "$1|$2|$3"),
-        ("^(\\d{4})(\\d{2})(\\d{2})$", "$1|$2|$3"),
-        ("^(\\d{2})(\\d{2})(\\d{2})$", "19$1|$2|$3"),
-        ("^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{4})$", f"$3|{first}|{second}"),
-        ("^(\\d{1,2})\\.(\\d{1,2})\\.(\\d{2})$", f"19$3|{first}|{second}"),
-        ("^([A-Za-z]{3,9})\\.? (\\d{1,2}),? (\\d{4})$", "$3|$1|$2"),
-        ("^([A-Za-z]{3,9})\\.? (\\d{1,2}),? (\\d{2})$", "19$3|$1|$2"),
-        ("^(\\d{1,2})[ -]([A-Za-z]{3,9})\\.?[ -](\\d{4})$", "$3|$2|$1"),
-        ("^(\\d{1,2})[ -]([A-Za-z]{3,9})\\.?[ -](\\d{2})$", "19$3|$2|$1"),
-        (f"^([A-Za-z]{{3,9}})\\.? (\\d{{1,2}}),? {_UNREAD}$", "|$1|$2"),
-        (f"^(\\d{{1,2}})[ -]([A-Za-z]{{3,9}})\\.?[ -]{_UNREAD}$", "|$2|$1"),
-        ("^0+ 0+ (\\d{4})$", "$1||"),
-        ("^0+ 0+ (\\d{2})$", "19$1||"),
-        ("^(\\d{4})$", "$1||"),
-    ]
-    canon = F.lit(None).cast("string")
-    for shape, to in reversed(shapes):
-        canon = F.when(day.rlike(shape), F.regexp_replace(day, shape, to)).otherwise(canon)
-    slashed = "^(\\d{1,2})/(\\d{1,2})/(\\d{4}|\\d{2})$"
-    year = F.regexp_extract(day, slashed, 3)
-    year = F.when(F.length(year) == 2, F.concat(F.lit("19"), year)).otherwise(year)
-    a, b = F.regexp_extract(day, slashed, 1), F.regexp_extract(day, slashed, 2)
-    by_order = F.when(order == "MDY", F.concat_ws("|", year, a, b)).when(order == "DMY", F.concat_ws("|", year, b, a))
-    d = d.withColumn("_d", F.split(F.when(day.rlike(slashed), by_order).otherwise(canon), "\\|"))
-    ymd = [F.get(F.col("_d"), F.lit(i)) for i in range(3)]
-    y, dd = _num(ymd[0]), _num(ymd[2])
-    mo = F.coalesce(_num(ymd[1]), _month(ymd[1])).cast("bigint")
+    # One pattern for all shapes of a date; the parts that a shape lacks stay blank.
+    shape = "^(?:" + "|".join(SHAPES) + ")$"
+    part = lambda x: "".join(f"${{{g}}}" for g in re.findall(f"\\?<({x}\\d)>", shape))
+    cut = F.regexp_replace(day, shape, "|".join(part(x) for x in "ymdab"))
+    d = d.withColumn("_d", F.split(F.when(day.rlike(shape), cut), "\\|"))
+    yy, mm, dy, one, two = (F.get(F.col("_d"), F.lit(i)) for i in range(5))
+    slashed = one != ""
+    mm = F.when(slashed, F.when(order == "MDY", one).when(order == "DMY", two)).otherwise(mm)
+    dy = F.when(slashed, F.when(order == "MDY", two).when(order == "DMY", one)).otherwise(dy)
+    y, dd = _num(F.when(F.length(yy) == 2, F.concat(F.lit("19"), yy)).otherwise(yy)), _num(dy)
+    mo = F.coalesce(_num(mm), _month(mm)).cast("bigint")
     leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
     most = F.when(mo.isin(4, 6, 9, 11), 30).when(mo == 2, F.when(y.isNull() | leap, 29).otherwise(28)).otherwise(31)
     real = mo.between(1, 12) & (dd >= 1) & (dd <= most) & (y.isNull() | y.between(1, 9999))
@@ -161,13 +156,13 @@ def parse(df: DataFrame, value: str, order: Column) -> DataFrame:
     digits = F.length(c)
     count = _num(c)
     epoch = F.when(c.rlike("^\\d+$"), F.when(digits.between(9, 10), count * 1_000_000).when(digits.between(12, 13), count * 1000).when(digits.between(15, 16), count).when(digits.between(18, 19), F.floor(count / 1000)))
-    whole = F.size("_d") == 3
+    plain = ~F.col("_timed")
     kind = (
         F.when(epoch.isNotNull(), "epoch")
-        .when(whole & F.col("_timed") & y.isNotNull() & real & us.isNotNull(), "time")
-        .when(whole & ~F.col("_timed") & y.isNotNull() & (ymd[1] == "") & (ymd[2] == "") & y.between(1, 9999), "year")
-        .when(whole & ~F.col("_timed") & y.isNotNull() & real, "date")
-        .when(whole & ~F.col("_timed") & (ymd[0] == "") & real, "month_day")
+        .when(F.col("_timed") & y.isNotNull() & real & us.isNotNull(), "time")
+        .when(plain & (mm == "") & (dy == "") & y.between(1, 9999), "year")
+        .when(plain & y.isNotNull() & real, "date")
+        .when(plain & (yy == "") & real, "month_day")
     )
     packed = F.struct(y.alias("y"), mo.alias("mo"), dd.alias("d"), us.alias("us"), F.col("_off").alias("off"), F.col("_abbr").alias("abbr"), F.col("_zone").alias("zone"), kind.alias("kind"), epoch.alias("epoch"))
     return d.withColumn("_p", packed).drop("_s", "_zone", "_off", "_abbr", "_t", "_timed", "_d")
