@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grammar
 from tidemark.functions import tokens as tk
 from tidemark.operators import index as ix
-from tidemark.runtime import table
+from tidemark.runtime import spread, table
 from tidemark.sources import corpus, fields
 
 
@@ -72,14 +72,14 @@ def date_terms(spark: SparkSession, sf: str) -> DataFrame:
 def grammar_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of whole documents, stop words left out."""
     stop = grammar.stop_set(table(spark, sf, "stop_words"))
-    docs = table(spark, sf, "documents").select("doc_id", F.lit("").alias("path"), F.col("doc_id").alias("ord"), "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.lit("").alias("path"), F.col("doc_id").alias("ord"), "text"))
     return ix.dictionary(ix.occurrences(docs, stop))
 
 
 def grammar_stemmed(spark: SparkSession, sf: str) -> DataFrame:
     """The same, stemmed."""
     stop = grammar.stop_set(table(spark, sf, "stop_words"))
-    docs = table(spark, sf, "documents").select("doc_id", F.lit("").alias("path"), F.col("doc_id").alias("ord"), "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.lit("").alias("path"), F.col("doc_id").alias("ord"), "text"))
     return ix.dictionary(ix.occurrences(docs, stop, stemmed=True))
 
 

@@ -10,7 +10,7 @@ from tidemark.functions import tokens as tk
 from tidemark.functions.grammar import stems
 from tidemark.operators import index as ix
 from tidemark.operators import ranking as rk
-from tidemark.runtime import shared_dir, table
+from tidemark.runtime import shared_dir, spread, table
 from tidemark.streaming import incremental
 
 #: The flagship query: terms and weights.
@@ -25,7 +25,7 @@ def _words(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _occ(spark: SparkSession, sf: str) -> DataFrame:
-    return _words(table(spark, sf, "documents"), "doc_id", "text")
+    return _words(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
