@@ -12,8 +12,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.stem import stem
 
@@ -30,6 +32,8 @@ TERM_TYPE = "array<struct<term: string, kind: string, pos: int, word: string>>"
 _NUMBER = re.compile(r"\d[\d,]*(?:\.[\d,]*)?%?|[\d,.]*/\d+%?|(?=.*\d)[\d,%/]*\.?[\d,%/]*(?:m|bn)", re.ASCII)
 _DIGITS = re.compile(r"\d+", re.ASCII)
 
+_EMITTED = [T.StructField(n, t) for n, t in (("term", T.StringType()), ("kind", T.StringType()), ("pos", T.IntegerType()), ("word", T.StringType()))]
+
 Emitted = tuple[str, str, str]  # term, kind (U, L, D for words), lower-case word
 
 
@@ -226,6 +230,35 @@ def _udf(stop: frozenset[str], stemmed: bool, month_first: bool):
     return F.pandas_udf(run, TERM_TYPE)
 
 
+def _rows(stop: frozenset[str], stemmed: bool, month_first: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, str] = {}
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                owner: list[int] = []
+                found: list[tuple[str, str, int, str]] = []
+                for i, text in enumerate(part.column(part.num_columns - 1).to_pylist()):
+                    of = parse(text, stop, stemmed, month_first, memo)
+                    found += of
+                    owner += [i] * len(of)
+                if found:
+                    at = pa.array(owner, pa.int32())
+                    term, kind, pos, word = zip(*found)
+                    cols = [c.take(at) for c in part.columns[:-1]]
+                    cols += [pa.array(term, pa.string()), pa.array(kind, pa.string()), pa.array(pos, pa.int32()), pa.array(word, pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[:-1], "term", "kind", "pos", "word"])
+
+    return run
+
+
+def emitted(df: DataFrame, keep: list[str], text: str, stop: frozenset[str] = frozenset(), stemmed: bool = False, month_first: bool = False) -> DataFrame:
+    """One row per emitted term: the columns ``keep``, then term, kind, pos, word."""
+    inner = df.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([*inner.schema.fields[:-1], *_EMITTED])
+    return inner.mapInArrow(_rows(stop, stemmed, month_first), schema)
+
+
 def stop_set(stop_words: DataFrame | None, limit: int = 20_000) -> frozenset[str]:
     """The stop words as a set; a list longer than ``limit`` is refused, as it is sent to every worker."""
     if stop_words is None:

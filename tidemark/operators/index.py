@@ -13,8 +13,7 @@ def occurrences(docs: DataFrame, stop: frozenset[str] = frozenset(), stemmed: bo
 
     ``docs`` has doc_id, path, ord and text; (path, ord) is the corpus order.
     """
-    t = docs.select("doc_id", "path", "ord", grammar.terms(F.col("text"), stop, stemmed, month_first).alias("t"))
-    return t.select("doc_id", "path", "ord", F.explode("t").alias("t")).select("doc_id", "path", "ord", "t.*")
+    return grammar.emitted(docs, ["doc_id", "path", "ord"], "text", stop, stemmed, month_first)
 
 
 def postings(occ: DataFrame) -> DataFrame:

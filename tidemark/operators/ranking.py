@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grammar
 
+#: Query terms, counted, up to which they are broadcast (about 50 bytes each).
+BROADCAST_ROWS = 500_000
 # Fixed values of the ranking formula.
 BM25_WEIGHT, COSINE_WEIGHT, K, B, SMOOTH, DEPTH = 0.7, 0.3, 1.2, 0.75, 0.5, 50
 
@@ -55,12 +57,16 @@ def scores(qterms: DataFrame, posts: DataFrame, docs: DataFrame, candidates: Dat
 
     ``docs`` (doc_id, length, max_tf) is the whole collection, which the statistics
     are taken over; ``candidates`` restricts the results. df is counted from the
-    postings of the queries' terms only, so the postings are read once, cut down by a
-    semi join before anything is shuffled.
+    postings of the queries' terms only, cut down by a semi join before anything is
+    shuffled.
     """
     stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
     wanted = qterms.select("term").distinct()
     hit = posts.select(F.lower("term").alias("term"), "doc_id", "tf").join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.sum("tf").cast("double").alias("tf"))
+    # By document and in a fixed number of parts: the fan-out to queries and the sums per document need no further shuffle.
+    spark = posts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = F.broadcast if qterms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda x: x)
     df = hit.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     found = qterms.join(df, "term")
     norm = found.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
@@ -68,11 +74,11 @@ def scores(qterms: DataFrame, posts: DataFrame, docs: DataFrame, candidates: Dat
     if candidates is not None:
         about = about.join(candidates.select("doc_id"), "doc_id", "left_semi")
     # One row of statistics.
-    rows = hit.join(about, "doc_id").join(found, "term").crossJoin(F.broadcast(stats))
+    rows = hit.repartition(parts, "doc_id").join(about, "doc_id").join(held(found), "term").crossJoin(F.broadcast(stats))
     rows = rows.select("query_id", "doc_id", "weight", bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("mean")).alias("b"), cosine_weight(F.col("n"), F.col("df"), F.col("tf"), F.col("max_tf")).alias("w"))
     sums = rows.groupBy("query_id", "doc_id").agg(F.sum("b").alias("bm25"), F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("d_norm") * F.col("q_norm")), F.lit(0.0))
-    scored = sums.join(norm, "query_id").select("query_id", "doc_id", "bm25", cosine.alias("cosine"))
+    scored = sums.join(held(norm), "query_id").select("query_id", "doc_id", "bm25", cosine.alias("cosine"))
     return scored.withColumn("score", BM25_WEIGHT * F.col("bm25") + COSINE_WEIGHT * F.col("cosine"))
 
 

@@ -15,7 +15,7 @@ from tidemark.sources import corpus, fields
 def _count(df: DataFrame, text: Column) -> DataFrame:
     """How often the grammar emits each term for the texts; equal texts are read once."""
     texts = df.select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
-    return texts.select("times", F.explode(grammar.terms(F.col("text"))).alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.sum("times").alias("n"))
+    return grammar.emitted(texts, ["times"], "text").groupBy("term").agg(F.sum("times").alias("n"))
 
 
 def _whole(c: str) -> Column:
