@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import fresh
+
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt")
 #: Three-letter codes and English names of the languages.
 LABELS = {
@@ -28,13 +30,15 @@ LABELS = {
     "es": ("es", "spa", "spanish"), "it": ("it", "ita", "italian"), "pt": ("pt", "por", "portuguese"),
 }
 DIM = 2048
+#: 4-grams of the blank and 26 letters.
+GRAMS = 27**4
 #: Labelled texts used for the prototype of each language.
 TRAIN_PER_LANGUAGE = 3000
 #: Of these, the texts whose sentences retrain the prototypes.
 REFINE_PER_LANGUAGE = 300
 #: What a change of language between sentences must gain.
 SWITCH = 2.5
-_WORD = re.compile(r"[^\W\d_]+")
+_BLANKED = bytes(i if 97 <= i <= 122 else 32 for i in range(256))
 _QUOTE = re.compile(r"[\"“”„«»]([^\"“”„«»\n]{0,80})[\"“”„«»]")
 _BREAK = re.compile(r"(?<=[.!?…])[\"')\]”»]*\s+|\n+")
 _TAG = re.compile(r"<[^<>\n]{0,40}>|&[a-z]{2,8};|https?://\S+")
@@ -48,11 +52,11 @@ def label_language(c: Column) -> Column:
 
 
 def _letters(text: str) -> str:
-    """Lower-case letters without accents, one blank between words."""
+    """Lower-case Latin letters without accents, one blank between words."""
     if "Ã" in text or "Â" in text or "â€" in text:
         text = _mended(text)
-    text = unicodedata.normalize("NFD", text.lower())
-    return " " + " ".join(_WORD.findall("".join(x for x in text if not unicodedata.combining(x)))) + " "
+    plain = unicodedata.normalize("NFD", text.lower().replace("ß", "ss").replace("œ", "oe").replace("æ", "ae")).replace("\u2019", " ")
+    return " " + b" ".join(plain.encode("ascii", "ignore").translate(_BLANKED).split()).decode() + " "
 
 
 def _mended(text: str) -> str:
@@ -70,32 +74,49 @@ def _mended(text: str) -> str:
 
 
 def letter_vectors(dim: int, seed: int = 7) -> np.ndarray:
-    """int8 vectors of the blank, 26 letters and the slots that all other letters share."""
-    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), size=(64, dim))
-
-
-def _codes(s: str) -> np.ndarray:
-    a = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-    return np.where(a == 32, 0, np.where((a >= 97) & (a <= 122), a - 96, 27 + a % 37)).astype(np.int64)
+    """Random bipolar vectors of the blank and the 26 letters."""
+    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), size=(27, dim))
 
 
 def gram_ids(s: str) -> np.ndarray:
-    """Ids of the 4-grams of letters-only text."""
-    c = _codes(s)
+    """Ids of the 4-grams of text made of blanks and letters."""
+    c = np.frombuffer(s.encode("ascii"), dtype=np.uint8)
+    c = np.where(c == 32, 0, c - 96).astype(np.int64)
     if len(c) < 4:
         c = np.concatenate([c, np.zeros(4 - len(c), dtype=np.int64)])
-    return c[:-3] << 18 | c[1:-2] << 12 | c[2:-1] << 6 | c[3:]
+    return ((c[:-3] * 27 + c[1:-2]) * 27 + c[2:-1]) * 27 + c[3:]
 
 
 def gram_vectors(ids: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The bound vectors of 4-grams: each letter's vector rolled by its place, multiplied."""
-    out = np.roll(v, 3, axis=1)[ids >> 18 & 63].copy()
-    out *= np.roll(v, 2, axis=1)[ids >> 12 & 63]
-    out *= np.roll(v, 1, axis=1)[ids >> 6 & 63]
-    out *= v[ids & 63]
+    out = np.roll(v, 3, axis=1)[ids // 19683]
+    out *= np.roll(v, 2, axis=1)[ids // 729 % 27]
+    out *= np.roll(v, 1, axis=1)[ids // 27 % 27]
+    out *= v[ids % 27]
     return out
 
 
+def bundled(ids: np.ndarray, weight: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The weighted sum of the vectors of distinct 4-grams."""
+    total = np.zeros(v.shape[1])
+    for i in range(0, len(ids), 2048):
+        total += weight[i : i + 2048].astype(np.float32) @ gram_vectors(ids[i : i + 2048], v).astype(np.float32)
+    return total
+
+
+def products_with(ids: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Dot products of the vectors of 4-grams with prototypes."""
+    rows = [gram_vectors(ids[i : i + 2048], v).astype(np.float32) @ p.T.astype(np.float32) for i in range(0, len(ids), 2048)]
+    return np.concatenate(rows) if rows else np.zeros((0, len(p)), dtype=np.float32)
+
+
+def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams with their text's number, and the norm of every text's counts."""
+    flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    pair, count = np.unique(owner * GRAMS + flat, return_counts=True)
+    return flat, np.sqrt(np.bincount(pair // GRAMS, weights=count.astype(float) ** 2, minlength=len(grams)))
+
+
 class Profiles:
     """Language prototypes and the cached products of n-grams with them."""
 
@@ -105,24 +126,16 @@ class Profiles:
         self.p = (p / np.where(norm == 0, 1, norm)).astype(np.float32)
         self.dim = prototypes.shape[1]
         self.v = letter_vectors(self.dim)
-        self.table = np.zeros((1024, len(prototypes)), dtype=np.float32)
-        self.known = np.zeros(0, dtype=np.int64)
+        self.table = np.zeros((GRAMS, len(prototypes)), dtype=np.float32)
+        self.known = np.zeros(GRAMS, dtype=bool)
 
     def products(self, ids: np.ndarray) -> np.ndarray:
         """Dot products of each n-gram's vector with each prototype."""
-        distinct, back = np.unique(ids, return_inverse=True)
-        pos = np.searchsorted(self.known, distinct)
-        pos[pos == len(self.known)] = 0
-        new = distinct[self.known[pos] != distinct] if len(self.known) else distinct
+        new = np.unique(ids[~self.known[ids]])
         if len(new):
-            rows = np.concatenate([gram_vectors(new[i : i + 4096], self.v).astype(np.float32) @ self.p.T for i in range(0, len(new), 4096)])
-            n = len(self.known)
-            self.known = np.concatenate([self.known, new])
-            table = np.concatenate([self.table[:n], rows])
-            order = np.argsort(self.known, kind="stable")
-            self.known, self.table = self.known[order], table[order]
-            pos = np.searchsorted(self.known, distinct)
-        return self.table[pos][back]
+            self.table[new] = products_with(new, self.v, self.p)
+            self.known[new] = True
+        return self.table[ids]
 
     def bundles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Dot products of every text's bundle with the prototypes, and the bundles' lengths.
@@ -131,13 +144,9 @@ class Profiles:
         its counts times the root of the dimension.
         """
         grams = [gram_ids(t) for t in texts]
-        sizes = np.array([len(g) for g in grams])
-        flat = np.concatenate(grams)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        dots = np.add.reduceat(self.products(flat), np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
-        pair, count = np.unique(owner << 24 | flat, return_counts=True)
-        norm = np.sqrt(np.bincount(pair >> 24, weights=count.astype(float) ** 2, minlength=len(texts)) * self.dim)
-        return dots, norm
+        flat, norm = counted(grams)
+        starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]]).astype(int)
+        return np.add.reduceat(self.products(flat), starts, axis=0), norm * self.dim**0.5
 
 
 def sentences(text: str) -> list[str]:
@@ -173,11 +182,13 @@ def segment(dots: np.ndarray, norms: np.ndarray, switch: float) -> np.ndarray:
 
 def _train(dim: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total, v = np.zeros(dim), letter_vectors(dim)
-        for t in pdf["text"]:
-            ids, n = np.unique(gram_ids(_scored_text(t)), return_counts=True)
-            b = n.astype(np.float32) @ gram_vectors(ids, v)
-            total += b / np.linalg.norm(b)
+        weight = np.zeros(GRAMS)
+        for i in range(0, len(pdf), 256):
+            grams = [gram_ids(_scored_text(t)) for t in pdf["text"].iloc[i : i + 256]]
+            flat, norm = counted(grams)
+            weight += np.bincount(flat, weights=np.repeat(1 / norm, [len(g) for g in grams]), minlength=GRAMS)
+        ids = np.flatnonzero(weight)
+        total = bundled(ids, weight[ids], letter_vectors(dim)) / dim**0.5
         return pd.DataFrame({"lang": [key[0]], "prototype": [total.tolist()]})
 
     return run
@@ -224,17 +235,19 @@ def refine(prototypes: np.ndarray, labelled: list[tuple[int, str]], epochs: int
             found.update((x, own) for x, k in zip(letters, path) if k == own)
     if len(set(found.values())) < 2:
         return prototypes
-    h = np.zeros((len(found), prototypes.shape[1]), dtype=np.float32)
-    for i, x in enumerate(found):
-        ids, n = np.unique(gram_ids(x), return_counts=True)
-        h[i] = n.astype(np.float32) @ gram_vectors(ids, model.v)
-    h /= np.linalg.norm(h, axis=1, keepdims=True)
+    grams = [gram_ids(x) for x in found]
+    flat, norm = counted(grams)
+    starts = np.concatenate([[0], np.cumsum([len(g) for g in grams])[:-1]]).astype(int)
+    ids, back = np.unique(flat, return_inverse=True)
+    unit = np.repeat(1 / (norm * prototypes.shape[1] ** 0.5), [len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     own = np.fromiter(found.values(), dtype=int)
-    p = np.array(model.p)
+    p = np.array(model.p, dtype=np.float64)
     at = np.arange(len(own))
     for _ in range(epochs):
-        norm = np.linalg.norm(p, axis=1, keepdims=True)
-        cos = h @ (p / np.where(norm == 0, 1, norm)).T
+        length = np.linalg.norm(p, axis=1, keepdims=True)
+        table = products_with(ids, model.v, p / np.where(length == 0, 1, length))
+        cos = np.add.reduceat(table[back] * unit[:, None], starts, axis=0)
         cos[:, ~some] = -9
         mine = cos[at, own]
         cos[at, own] = -9
@@ -243,7 +256,10 @@ def refine(prototypes: np.ndarray, labelled: list[tuple[int, str]], epochs: int
         if not weak.any():
             break
         for k in np.flatnonzero(some):
-            p[k] += rate * (h[weak & (own == k)].sum(axis=0) - h[weak & (rival == k)].sum(axis=0)) / max(1, weak.sum()) ** 0.5
+            # The bundles to add are summed n-gram by n-gram: the same by linearity.
+            step = (weak & (own == k)).astype(float) - (weak & (rival == k))
+            change = np.bincount(back, weights=step[owner] * unit, minlength=len(ids))
+            p[k] += rate * bundled(ids, change, model.v) / weak.sum() ** 0.5
     p[~some] = 0
     return p
 
@@ -251,11 +267,11 @@ def refine(prototypes: np.ndarray, labelled: list[tuple[int, str]], epochs: int
 _OUT = "seg_no int, lang string, confidence double, n_sentences int, start int, stop int"
 
 
-def _detect(prototypes: np.ndarray, switch: float, n_id: int, names: list[str]):
+def _detect(prototypes: np.ndarray, switch: float, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Profiles(prototypes)
         some = np.array([np.any(p) for p in prototypes])
-        for batch in batches:
+        for batch in batches if some.any() else ():
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 owner, texts, spans = [], [], []
@@ -299,10 +315,12 @@ def detect(df: DataFrame, ids: list[str], text: str, prototypes: np.ndarray, swi
     stretch of whole sentences, numbered from 1 in order; start and stop are character
     offsets. Texts without words (null, blank, numbers only) give no row. Quoted
     phrases of up to eight words do not count. Repeated rows each give their result.
-    The whole of every text is read. A change of language must gain ``switch``.
+    The whole of every text is read. A change of language must gain ``switch``. With
+    untrained prototypes there is no result. A result column named like one of ``ids``
+    is lengthened by ``_``.
     """
     names = [f"i{k}" for k in range(len(ids))]
     inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(ids, names)], F.col(f"`{text}`").alias("_text")).where(F.col("_text").rlike("\\p{L}"))
     head = ", ".join(f"{n} {inner.schema[n].dataType.simpleString()}" for n in names)
-    out = inner.mapInPandas(_detect(prototypes, switch, len(names), names), f"{head}, {_OUT}")
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, ids)], *[F.col(x.split()[0]) for x in _OUT.split(", ")])
+    out = inner.mapInPandas(_detect(prototypes, switch, names), f"{head}, {_OUT}")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, ids)], *[F.col(x.split()[0]).alias(fresh(x.split()[0], ids)) for x in _OUT.split(", ")])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import canonical, hdlang, mixing, neardup, packing, termcount, tokens, topn
-from tidemark.runtime import materialize, table
+from tidemark.runtime import spread, table
 
 TOP = 50
 STORY_WIDTH, STORY_SIMILARITY = 3, 0.6
@@ -65,7 +65,7 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.token_sizes(table(spark, sf, "documents").select("doc_id", "source", "text"), "text").drop("text")
+    return tokens.token_sizes(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), "text").drop("text")
 
 
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Language and confidence of every text, or of each of its stretches."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     prototypes = hdlang.train(docs, "text", "lang")
-    found = hdlang.detect(docs.withColumnRenamed("lang", "label"), ["doc_id", "label"], "text", prototypes)
+    found = hdlang.detect(spread(docs.withColumnRenamed("lang", "label")), ["doc_id", "label"], "text", prototypes)
     return found.select("doc_id", "label", "seg_no", "lang", "confidence", "n_sentences", "start", "stop")
 
 
