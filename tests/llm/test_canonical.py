@@ -33,6 +33,8 @@ def test_column_keeps_rows_and_clashing_names(spark, cities):
     assert got.columns == ["rec_id", "city", "city_id", "city_id_"]
     assert sorted((r["rec_id"], r["city_id"], r["city_id_"] or 0) for r in got.collect()) == [(1, 77, 2), (1, 77, 2), (2, 78, 0)]
     assert canonical.map_column(df.where("false"), "city", cities, "city_id", "city").count() == 0
+    odd = canonical.map_column(df.selectExpr("city", "rec_id as _v", "rec_id as _id"), "city", cities, "city_id", "city")
+    assert odd.columns == ["city", "_v", "_id", "city_id"] and odd.where("city_id = 2").count() == 2
     assert canonical.map_column(df, "city", cities.where("false"), "city_id", "city").where("city_id_ >= 0").count() == 0
 
 

@@ -69,6 +69,9 @@ def test_edges(spark, prototypes):
     got = sorted((x["doc_id"], x["seg_no"], x["lang"]) for x in _detect(spark, prototypes, rows).collect() if x["doc_id"] != 7)
     assert got == [(5, 0, "en"), (5, 0, "en"), (6, 0, "de")]
     assert _detect(spark, prototypes, []).count() == 0
+    assert _detect(spark, np.zeros_like(prototypes), rows).count() == 0
+    same = hdlang.detect(spark.createDataFrame(rows[4:5], "lang long, text string"), ["lang"], "text", prototypes)
+    assert same.columns[:3] == ["lang", "seg_no", "lang_"] and same.first()["lang_"] == "en"
     clash = hdlang.detect(spark.createDataFrame([(1, "x", _text(random.Random(6), "it"))], "doc_id long, _text string, t string"), ["doc_id", "_text"], "t", prototypes)
     assert [(r["doc_id"], r["_text"], r["lang"]) for r in clash.collect()] == [(1, "x", "it")]
 

@@ -153,5 +153,6 @@ def map_column(df: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_name:
     lengthened by ``_``.
     """
     out = fresh(ref_id, df.columns)
-    m = map_values(df, value, ref, ref_id, ref_name, ref_context, **options).select(F.col(f"`{value}`").alias("_v"), F.col(ref_id).alias("_id"))
-    return df.join(m, F.col(f"`{value}`") == F.col("_v"), "left").drop("_v").withColumnRenamed("_id", out)
+    v, i = fresh("_v", df.columns), fresh("_id", df.columns)
+    m = map_values(df, value, ref, ref_id, ref_name, ref_context, **options).select(F.col(f"`{value}`").alias(v), F.col(f"`{ref_id}`").alias(i))
+    return df.join(m, F.col(f"`{value}`") == F.col(v), "left").drop(v).withColumnRenamed(i, out)
