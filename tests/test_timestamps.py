@@ -53,6 +53,8 @@ def test_clashing_columns_repeated_rows_and_empty(spark):
     df = _run(spark, [(1, "960113", "alp", "a", "b"), (1, "960113", "alp", "a", "b")], ", norm_date string, date_status string")
     assert df.columns[-2:] == ["norm_date_", "date_status_"] and [r["norm_date_"] for r in df.collect()] == ["1996-01-13"] * 2
     assert _run(spark, []).count() == 0
+    odd = _run(spark, [(1, "1996-10-27T02:35", "alp", 7, "b", 8)], ", spans int, _p string, year int")
+    assert odd.select("spans", "_p", "year", "norm_date").first()[:] == (7, "b", 8, "1996-10-27T00:35:00.000000Z")
 
 
 @pytest.mark.parametrize("us", [0, -1, 86_400_000_000 - 1, -86_400_000_000, 1234567890123456, 253402300799999999])

@@ -196,11 +196,13 @@ def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFra
     """
     out = fresh(out, df.columns)
     status = fresh(status, [*df.columns, out])
-    p = parse(df, value, F.col(f"`{order}`"))
+    # The row goes along as one value, so its columns can have any names.
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    p = parse(df.select(row.alias("_row"), F.col(f"`{value}`").alias("_value"), F.col(f"`{zone}`").alias("_fallback"), F.col(f"`{order}`").alias("_order")), "_value", F.col("_order"))
     ab = abbrevs.where("abbr is not null").select(F.col("abbr").alias("_a"), F.col("offset_minutes").cast("bigint").alias("_am")).dropDuplicates(["_a"])
     p = p.join(ab, F.col("_p.abbr") == F.col("_a"), "left")
     fixed = F.coalesce(F.col("_p.off"), F.col("_am"))
-    own = F.when(F.col("_p.zone") != "", F.col("_p.zone")).when(F.col("_p.abbr").isNull(), F.col(f"`{zone}`"))
+    own = F.when(F.col("_p.zone") != "", F.col("_p.zone")).when(F.col("_p.abbr").isNull(), F.col("_fallback"))
     is_time = F.col("_p.kind") == "time"
     year = F.greatest(F.lit(FIRST_YEAR), F.least(F.lit(LAST_YEAR), F.col("_p.y"))).cast("int")
     p = p.withColumn("_z", F.when(is_time & fixed.isNull(), own)).withColumn("_y", year)
@@ -225,4 +227,4 @@ def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFra
     # Told from the parts, not from the text, so that a filter on it stays small when it is pushed down.
     resolved = F.col("_utc").isNotNull() | F.coalesce(kind.isin("date", "year", "month_day"), F.lit(False))
     how = F.when(~resolved, "unresolved").when(is_time & fixed.isNull() & (n > 1), "ambiguous").when(is_time & fixed.isNull() & (n == 0), "nonexistent").when(is_time | (kind == "epoch"), "exact").otherwise(kind)
-    return p.select(*[F.col(f"`{c}`") for c in df.columns], text.alias(out), how.alias(status))
+    return p.select(*[F.col("_row").getField(c).alias(c) for c in df.columns], text.alias(out), how.alias(status))
