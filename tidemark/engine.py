@@ -58,7 +58,7 @@ class Index:
 
     def summary(self) -> DataFrame:
         """How many documents and terms there are."""
-        return self.docs.agg(F.count(F.lit(1)).alias("documents")).crossJoin(F.broadcast(self.terms.agg(F.count(F.lit(1)).alias("terms"))))
+        return self.docs.agg(F.count(F.lit(1)).alias("documents")).select("documents", self.terms.agg(F.count(F.lit(1))).scalar().alias("terms"))
 
     def read_doc(self, raw: DataFrame, doc_id: str) -> DataFrame:
         """The raw chunk of one document."""

@@ -73,9 +73,9 @@ def scores(qterms: DataFrame, posts: DataFrame, docs: DataFrame, candidates: Dat
     about = docs.select("doc_id", F.col("length").cast("double").alias("length"), F.col("max_tf").cast("double").alias("max_tf"))
     if candidates is not None:
         about = about.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    # One row of statistics.
-    rows = hit.repartition(parts, "doc_id").join(about, "doc_id").join(held(found), "term").crossJoin(F.broadcast(stats))
-    rows = rows.select("query_id", "doc_id", "weight", bm25(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("mean")).alias("b"), cosine_weight(F.col("n"), F.col("df"), F.col("tf"), F.col("max_tf")).alias("w"))
+    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
+    rows = hit.repartition(parts, "doc_id").join(about, "doc_id").join(held(found), "term")
+    rows = rows.select("query_id", "doc_id", "weight", bm25(n, F.col("df"), F.col("tf"), F.col("length"), mean).alias("b"), cosine_weight(n, F.col("df"), F.col("tf"), F.col("max_tf")).alias("w"))
     sums = rows.groupBy("query_id", "doc_id").agg(F.sum("b").alias("bm25"), F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("d_norm") * F.col("q_norm")), F.lit(0.0))
     scored = sums.join(held(norm), "query_id").select("query_id", "doc_id", "bm25", cosine.alias("cosine"))
