@@ -8,6 +8,8 @@ source's cumulative token demand reaches it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +39,16 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     t = t.join(have, "source", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     most = F.col("available") * F.col("max_repeats")
     rank = F.log2(F.col("max_repeats").cast("double"))
-    t = t.withColumn("feasible", most / F.col("target_share"))
-    # One row.
-    all_tokens = t.agg(F.sum("available").cast("double").alias("all_tokens"))
-    t = t.crossJoin(F.broadcast(all_tokens))
-    limiting = F.when(F.col("feasible") >= too_small * F.col("all_tokens"), F.col("feasible"))
-    sums = t.agg(F.coalesce(F.min(F.when(F.col("available") > 0, limiting)), F.first("all_tokens")).alias("total"), (F.sum(F.col("target_share") * rank) / F.sum("target_share")).alias("mean"), F.max(rank).alias("hi"), F.min(rank).alias("lo"))
+    t = materialize(t.withColumn("feasible", most / F.col("target_share")), "sources")
     # One row of totals.
-    t = t.crossJoin(F.broadcast(sums))
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.floor("total").cast("double")
-    span = F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo"))
-    tilt = F.when(span > 0, F.lit(TILT) * (rank - F.col("mean")) / span).otherwise(F.lit(0.0))
-    demand = F.least(F.col("target_share") * F.coalesce(total, F.lit(0.0)), most.cast("double"))
+    whole = t.agg(F.sum("available").cast("double").alias("a")).first()["a"] or 0.0
+    limiting = F.when((F.col("available") > 0) & (F.col("feasible") >= too_small * whole), F.col("feasible"))
+    sums = t.agg(F.min(limiting).alias("total"), (F.sum(F.col("target_share") * rank) / F.sum("target_share")).alias("mean"), F.max(rank).alias("hi"), F.min(rank).alias("lo")).first()
+    mean, hi, lo = (sums[x] or 0.0 for x in ("mean", "hi", "lo"))
+    total = float(total_tokens) if total_tokens is not None else float(math.floor(sums["total"] if sums["total"] is not None else whole))
+    span = max(hi - mean, mean - lo)
+    tilt = F.lit(TILT) * (rank - mean) / span if span > 0 else F.lit(0.0)
+    demand = F.least(F.col("target_share") * total, most.cast("double"))
     return t.select("source", "target_share", "max_repeats", "available", demand.alias("demand"), tilt.alias("tilt"))
 
 
@@ -79,8 +79,8 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
 def shares(mixed: DataFrame, source: str, targets: DataFrame) -> DataFrame:
     """What each target source really reached: tokens, documents used, most copies of one, share and its difference from the target."""
     got = mixed.groupBy(source).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), (F.max("copy_no") + 1).alias("most_copies"))
-    total = got.agg(F.sum("tokens").alias("total"))
-    t = targets.select("source", "target_share", "max_repeats").join(got.withColumnRenamed(source, "source"), "source", "left").crossJoin(F.broadcast(total))
+    total = got.agg(F.sum("tokens")).scalar()
+    t = targets.select("source", "target_share", "max_repeats").join(got.withColumnRenamed(source, "source"), "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    share = F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0))
     return t.select("source", "target_share", "max_repeats", zero("tokens"), zero("uses"), zero("most_copies"), share.alias("reached_share"), (share - F.col("target_share")).alias("difference"))

@@ -17,6 +17,8 @@ from tidemark.runtime import materialize
 
 #: Tokens packed by one task for one capacity.
 SHARD_TOKENS = 4_000_000
+#: Rows of the table of capacities, which are parameters.
+MOST_SPECS = 1_000
 
 
 class OpenBins:
@@ -89,7 +91,8 @@ def pack(items: DataFrame, item: str, size: str, specs: DataFrame, spec: str = "
     non-positive size are left out, repeated rows are items of their own. An item
     larger than the capacity is cut into pieces that fill a container each, and its
     rest is packed like an item; no other item is divided. Specs with a null or
-    non-positive capacity give nothing; each spec id should occur once.
+    non-positive capacity give nothing; each spec id should occur once; more than
+    MOST_SPECS rows are refused.
 
     Columns: spec_id, container_id (unique within the spec), capacity, n_items, used,
     unused, items: array of (item, piece_no from 0, start, n_tokens), start counting
@@ -98,15 +101,20 @@ def pack(items: DataFrame, item: str, size: str, specs: DataFrame, spec: str = "
     kept = materialize(items.select(F.col(f"`{item}`").alias("item"), F.col(f"`{size}`").cast("bigint").alias("n")).where("n > 0"), "sizes")
     total = kept.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
-    wanted = specs.select(F.col(f"`{spec}`").alias("spec_id"), F.col(f"`{capacity}`").cast("bigint").alias("capacity")).where("capacity > 0")
+    wanted = specs.select(F.col(f"`{spec}`").alias("spec_id"), F.col(f"`{capacity}`").cast("bigint").alias("capacity")).where("capacity > 0").limit(MOST_SPECS + 1)
+    sid, listed = wanted.schema["spec_id"].dataType, wanted.collect()
+    if len(listed) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} capacities")
     # Every item is wanted once by every spec: the result has that size.
-    each = kept.crossJoin(wanted)
+    choices = [F.struct(F.lit(r["spec_id"]).cast(sid).alias("spec_id"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in listed]
+    choices = F.array(*choices) if choices else F.array().cast(f"array<struct<spec_id: {sid.simpleString()}, capacity: bigint>>")
+    each = kept.select("item", "n", F.explode(choices).alias("c")).select("item", "n", "c.spec_id", "c.capacity")
     whole = F.floor(F.col("n") / F.col("capacity"))
     full = each.where(F.col("n") >= F.col("capacity")).select("spec_id", "capacity", "item", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece_no"))
     full = full.select("spec_id", F.concat_ws("-", F.lit("full"), F.xxhash64("item").cast("string"), F.coalesce(F.col("item").cast("string"), F.lit("")), "piece_no", F.monotonically_increasing_id()).alias("container_id"), "capacity", F.lit(1).alias("n_items"), F.col("capacity").alias("used"), F.lit(0).cast("bigint").alias("unused"), F.array(F.struct("item", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))).alias("items"))
     rest = each.select("spec_id", "capacity", "item", whole.cast("int").alias("piece_no"), (whole * F.col("capacity")).cast("bigint").alias("start"), (F.col("n") % F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("item", F.lit("deal")), F.lit(shards)).cast("int").alias("shard")).where("n_tokens > 0")
-    kind, sid = rest.schema["item"].dataType.simpleString(), rest.schema["spec_id"].dataType.simpleString()
-    schema = f"spec_id {sid}, capacity bigint, item {kind}, piece_no int, start bigint, n_tokens bigint, shard int, bin bigint"
+    kind = rest.schema["item"].dataType.simpleString()
+    schema = f"spec_id {sid.simpleString()}, capacity bigint, item {kind}, piece_no int, start bigint, n_tokens bigint, shard int, bin bigint"
     packed = rest.groupBy("spec_id", "shard").applyInPandas(_pack, schema)
     used = F.sum("n_tokens")
     mixed = packed.groupBy("spec_id", "shard", "bin").agg(F.first("capacity").alias("capacity"), F.count(F.lit(1)).cast("int").alias("n_items"), used.alias("used"), (F.first("capacity") - used).alias("unused"), F.sort_array(F.collect_list(F.struct("item", "piece_no", "start", "n_tokens"))).alias("items"))
