@@ -10,7 +10,7 @@ from tidemark.functions import tokens as tk
 from tidemark.functions.grammar import stems
 from tidemark.operators import index as ix
 from tidemark.operators import ranking as rk
-from tidemark.runtime import shared_dir, spread, table
+from tidemark.runtime import register_written, shared_dir, spread, table
 from tidemark.streaming import incremental
 
 #: The flagship query: terms and weights.
@@ -202,6 +202,7 @@ def streamed_postings(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    register_written(spark, base)
     path = f"{sf}/doc_text.parquet"
     schema = spark.read.parquet(path).schema
     # A stream reads a folder; the table is one file in it or a folder of parts.

@@ -24,37 +24,53 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: The folder of sessions that name none, by application; and the tables written, to be deleted at exit.
+_OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[object, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
     Only where the session names none (single-machine tests) a temporary local
-    folder is created and used for the rest of the process.
+    folder is created and used for the rest of the application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        atexit.register(_remove_local, named)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+            register_written(spark, _OWN[app])
+        named = _OWN[app]
     return named.rstrip("/")
 
 
-def _remove_local(uri: str) -> None:
-    import shutil
+def register_written(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's process ends."""
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark.sparkContext._jvm, path))
+
 
-    shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
+def _delete_written() -> None:
+    for jvm, path in reversed(_WRITTEN):
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+        except Exception:  # the gateway is gone: what is left is the cluster's to clean
+            return
 
 
-def materialize(df: DataFrame, label: str, sort_within: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage with data every executor can reach again, so a lost executor
     costs a re-read and never a wrong or partial result. Columns keep their names,
-    types and order.
+    types and order. The table is deleted when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    if sort_within:
-        df = df.sortWithinPartitions(*sort_within)
+    register_written(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
