@@ -119,6 +119,33 @@ def sgml_fields(spark: SparkSession, sf: str) -> DataFrame:
     return fields.documents(_chunks(spark, sf)).select("doc_id", "title", "language", "date", "text")
 
 
+def _whole_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Marked-up documents made from every delivery, with the whole text of its story.
+
+    What a delivery lacks has no tag. Even deliveries are written with TI and DATE1, odd
+    ones with HEADLINE and DATE.
+    """
+    texts = table(spark, sf, "doc_text").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    d = table(spark, sf, "docs").where("doc_id is not null").join(texts, "doc_id", "left")
+    shown = lambda c, tag, end: F.when(F.col(c).rlike("\\S"), F.concat(F.lit(tag), F.col(c), F.lit(end)))
+    dated = lambda tag, form, end: F.concat(F.lit(tag), F.date_format("received_at", form), F.lit(end))
+    even = F.col("rec_id") % 2 == 0
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id"), F.lit(" </DOCNO>")),
+        F.when(even, dated("<DATE1> ", "d MMM yyyy", "* </DATE1>")).otherwise(dated("<DATE> ", "EEEE, MMMM d, yyyy", " </DATE>")),
+        F.when(even, shown("title", "<TI>  ", " </TI>")).otherwise(shown("title", "<HEADLINE> <H3> ", " </H3> </HEADLINE>")),
+        shown("city", "<F P=104> ", " </F>"), shown("doc_lang", "<F P=105> ", " </F>"),
+        F.concat(F.lit("<TEXT>\n"), F.coalesce("text", F.lit("")), F.lit("\n</TEXT>\n")),
+    )
+    files = d.select(F.format_string("f%012d", F.col("rec_id")).alias("path"), body.alias("body"))
+    return corpus.split_chunks(files)
+
+
+def sgml_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fields of every story, whatever its last delivery lacks, with its whole text."""
+    return fields.documents(_whole_chunks(spark, sf)).select("doc_id", "title", "language", "date", "text")
+
+
 def doc_date(spark: SparkSession, sf: str) -> DataFrame:
     """Six-digit and long dates of marked-up documents."""
     o = table(spark, sf, "orders")
@@ -171,7 +198,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         money_terms, dollar_terms, percent_terms, magnitude_terms, range_terms, between_terms, hyphen_terms, slash_terms, date_terms, grammar_terms, grammar_stemmed, clean_tokens, word_filter,
-        number_filter, sgml_fields, doc_date, topics_parse, gazetteer_first, city_country_join, city_prefix_match, population_format, synonym_expand,
+        number_filter, sgml_fields, sgml_documents, doc_date, topics_parse, gazetteer_first, city_country_join, city_prefix_match, population_format, synonym_expand,
     )
 }
 
@@ -203,6 +230,14 @@ SELECT doc_id, title, CASE WHEN l = 'The' THEN '' ELSE l END AS language, date,
   SELECT doc_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title,
     upper(w[1]) || lower(w[2:]) AS l, strftime(received_at, '%Y-%m-%d') AS date
   FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE trim(doc_lang) <> '' AND title IS NOT NULL AND received_at IS NOT NULL) WHERE k = 1)""",
+    "sgml_documents": r"""
+WITH texts AS (
+  SELECT doc_id, array_to_string(list_filter(string_split_regex(max(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''), ' ') AS text
+  FROM doc_text GROUP BY doc_id)
+SELECT doc_id, coalesce(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, CASE WHEN w IS NULL OR lower(w) = 'the' THEN '' ELSE upper(w[1]) || lower(w[2:]) END AS language,
+  coalesce(strftime(received_at, '%Y-%m-%d'), '') AS date, coalesce(text, '') AS text
+FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE doc_id IS NOT NULL)
+LEFT JOIN texts USING (doc_id) WHERE k = 1""",
     "doc_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '19' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders",
     "topics_parse": r"SELECT query_id, trim(regexp_replace(coalesce(title, ''), ' +', ' ', 'g')) AS title, trim(regexp_replace(coalesce(descr, ''), ' +', ' ', 'g')) AS descr FROM topics",
     "gazetteer_first": "SELECT city, iso2 FROM (SELECT lower(city) AS city, desk AS iso2, row_number() OVER (PARTITION BY lower(city) ORDER BY rec_id) AS k FROM docs WHERE trim(city) <> '') WHERE k = 1",

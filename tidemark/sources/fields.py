@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.grammar import MONTHS
 from tidemark.functions.tokens import _CLASS, month_number, split_words
 
 # Markup left in texts.
@@ -66,19 +69,32 @@ def _ymd(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", F.when(year != "", year), month, day)
 
 
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is worked out once however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def date(chunk: Column) -> Column:
     """DATE1 or DATE as YYYY-MM-DD, MM-DD or YYYY; blank if there is none of a known shape."""
     get = lambda a, i: F.get(a, F.lit(i) if isinstance(i, int) else i)
-    one, two = split_words(after(chunk, "DATE1")), split_words(after(chunk, "DATE"))
-    first, second = month_number(get(one, 0)), month_number(get(one, 1))
-    year = _year(get(one, 2))
-    date1 = F.when(first.isNotNull(), _ymd(year, first, get(one, 1))).when(second.isNotNull(), _ymd(year, second, get(one, 0))).when((get(one, 0) == "000") & (get(one, 1) == "000"), year)
-    at = F.array_position(F.transform(two, lambda t: month_number(t).isNotNull()), True).cast("int")
-    short = get(two, 0)
-    date2 = F.when(short.rlike("^[0-9]{6}\\z"), F.concat(F.lit("19"), F.substring(short, 1, 2), F.lit("-"), F.substring(short, 3, 2), F.lit("-"), F.substring(short, 5, 2))).when(
-        at > 0, _ymd(_year(get(two, at + 1)), month_number(get(two, at - 1)), get(two, at))
-    )
-    return F.coalesce(F.when(F.contains(chunk, F.lit("<DATE1>")), date1).when(F.contains(chunk, F.lit("<DATE>")), date2), F.lit(""))
+
+    def date1(one: Column) -> Column:
+        first, second = month_number(get(one, 0)), month_number(get(one, 1))
+        year = _year(get(one, 2))
+        return F.when(first.isNotNull(), _ymd(year, first, get(one, 1))).when(second.isNotNull(), _ymd(year, second, get(one, 0))).when((get(one, 0) == "000") & (get(one, 1) == "000"), year)
+
+    def long(two: Column, at: Column) -> Column:
+        return F.when(at > 0, _ymd(_year(get(two, at + 1)), month_number(get(two, at - 1)), get(two, at)))
+
+    def date2(two: Column) -> Column:
+        short = get(two, 0)
+        # The month may stand anywhere in what follows, which is the whole document.
+        at = F.array_position(F.transform(two, lambda t: F.lower(t).isin(*MONTHS)), True).cast("int")
+        six = F.concat(F.lit("19"), F.substring(short, 1, 2), F.lit("-"), F.substring(short, 3, 2), F.lit("-"), F.substring(short, 5, 2))
+        return F.when(short.rlike("^[0-9]{6}\\z"), six).otherwise(_with(at, lambda a: long(two, a)))
+
+    found = F.when(F.contains(chunk, F.lit("<DATE1>")), _with(split_words(after(chunk, "DATE1")), date1)).when(F.contains(chunk, F.lit("<DATE>")), _with(split_words(after(chunk, "DATE")), date2))
+    return F.coalesce(found, F.lit(""))
 
 
 def text(chunk: Column) -> Column:
