@@ -2,8 +2,9 @@
 
 Training time runs from 0 to 1. Every source has a weight schedule whose integral is
 its share; at every moment the weights of all sources sum to 1. The documents of a
-source stand in a fixed pseudo-random order, and each takes the moment at which the
-source's cumulative token demand reaches it.
+source stand in a fixed pseudo-random order, those larger than the source's whole
+demand last, and each takes the moment at which the source's cumulative token demand
+reaches it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ TILT = 0.8
 
 
 def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, too_small: float = TOO_SMALL) -> DataFrame:
-    """One row per target source: share, repeats, available tokens, demand and tilt of its schedule.
+    """One row per target source: share, repeats, available tokens, demand, whether it was passed over, and tilt of its schedule.
 
     ``sized`` has source and n_tokens, ``targets`` source (each once), target_share
     and max_repeats. The default total is the largest one at which every source meets
@@ -31,8 +32,10 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     Sources without documents, or so small that the total would fall under
     ``too_small`` of all listed tokens, do not limit it: they give all they may and
     their shortfall raises the shares of the rest; so does any source that is too
-    small for a given ``total_tokens``. Schedules are linear in time; sources that may
-    be repeated more often gain weight towards the end.
+    small for a given ``total_tokens``. All of these are ``passed_over``. With
+    ``too_small`` 0 every source that has documents limits the default total.
+    Schedules are linear in time; sources that may be repeated more often gain weight
+    towards the end.
     """
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     t = targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
@@ -49,23 +52,23 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     span = max(hi - mean, mean - lo)
     tilt = F.lit(TILT) * (rank - mean) / span if span > 0 else F.lit(0.0)
     demand = F.least(F.col("target_share") * total, most.cast("double"))
-    return t.select("source", "target_share", "max_repeats", "available", demand.alias("demand"), tilt.alias("tilt"))
+    return t.select("source", "target_share", "max_repeats", "available", demand.alias("demand"), ((F.col("available") == 0) | (F.col("feasible") < total)).alias("passed_over"), tilt.alias("tilt"))
 
 
-def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """The chosen documents: key, source, copy_no, n_tokens, position (0 to 1), sorted by position.
+def mix_and_plan(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total_tokens: int | None = None, too_small: float = TOO_SMALL) -> tuple[DataFrame, DataFrame]:
+    """The chosen documents: key, source, copy_no, n_tokens, position (0 to 1), sorted by position; and their plan.
 
     A document is used once per pass over its source, so at most ``max_repeats``
     times; the last pass ends where the demand is met, to within half a document.
     Documents with a null source, an unlisted source or no tokens are not used.
     Repeated rows are documents of their own. No targets or no documents give an
-    empty result.
+    empty result. ``too_small`` says which sources may fall short of their share, see ``plan``.
     """
     sized = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").cast("bigint").alias("n_tokens")).where("n_tokens > 0 and source is not null")
     sized = materialize(sized.withColumn("shuffled", F.xxhash64("key", F.lit("mix"))), "sized")
-    p = materialize(plan(sized, targets, total_tokens), "plan")
-    listed = sized.join(p.select("source"), "source", "left_semi")
-    placed = running_sum(listed, "source", ["shuffled", "key"], "n_tokens", "before").join(p, "source")
+    p = materialize(plan(sized, targets, total_tokens, too_small), "plan")
+    listed = sized.join(p.select("source", "demand"), "source").withColumn("late", F.col("n_tokens") > F.col("demand")).drop("demand")
+    placed = running_sum(listed, "source", ["late", "shuffled", "key"], "n_tokens", "before").join(p, "source")
     middle = F.col("before") + F.col("n_tokens") / 2.0
     passes = F.floor((F.col("demand") - middle) / F.col("available")).cast("int")
     used = placed.where(middle <= F.col("demand")).select("*", F.explode(F.sequence(F.lit(0), F.least(passes, (F.col("max_repeats") - 1).cast("int")))).alias("copy_no"))
@@ -73,14 +76,26 @@ def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, t
     a = F.col("tilt")
     # Demand up to time t is demand * ((1 - tilt) t + tilt t^2); this is its inverse.
     t = F.when(F.abs(a) < 1e-9, u).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * u)) / (2 * a))
-    return used.select(F.col("key").alias(key), F.col("source").alias(source), "copy_no", "n_tokens", t.alias("position")).orderBy("position", source, key, "copy_no")
+    return used.select(F.col("key").alias(key), F.col("source").alias(source), "copy_no", "n_tokens", t.alias("position")).orderBy("position", source, key, "copy_no"), p
 
 
-def shares(mixed: DataFrame, source: str, targets: DataFrame) -> DataFrame:
-    """What each target source really reached: tokens, documents used, most copies of one, share and its difference from the target."""
+def mix(docs: DataFrame, key: str, source: str, size: str, targets: DataFrame, total_tokens: int | None = None, too_small: float = TOO_SMALL) -> DataFrame:
+    """The chosen documents of ``mix_and_plan``."""
+    return mix_and_plan(docs, key, source, size, targets, total_tokens, too_small)[0]
+
+
+def shares(mixed: DataFrame, source: str, targets: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """What each target source really reached: tokens, documents used, most copies of one, share and its difference from the target.
+
+    With ``planned`` also whether it was passed over when the total was set; targets the plan can't use were.
+    """
     got = mixed.groupBy(source).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), (F.max("copy_no") + 1).alias("most_copies"))
     total = got.agg(F.sum("tokens")).scalar()
     t = targets.select("source", "target_share", "max_repeats").join(got.withColumnRenamed(source, "source"), "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     share = F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0))
-    return t.select("source", "target_share", "max_repeats", zero("tokens"), zero("uses"), zero("most_copies"), share.alias("reached_share"), (share - F.col("target_share")).alias("difference"))
+    passed = []
+    if planned is not None:
+        t = t.join(planned.select("source", "passed_over"), "source", "left")
+        passed = [F.coalesce("passed_over", F.lit(True)).alias("passed_over")]
+    return t.select("source", "target_share", "max_repeats", zero("tokens"), zero("uses"), zero("most_copies"), share.alias("reached_share"), (share - F.col("target_share")).alias("difference"), *passed)

@@ -79,14 +79,20 @@ def p6_summary(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("spec_id", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("used"), F.sum("unused").alias("unused"), (F.sum("unused") / F.sum("capacity")).alias("unused_share"))
 
 
+def _mixture(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    # No source that has documents is passed over, at any size.
+    return mixing.mix_and_plan(_sized(spark, sf), "doc_id", "source", "n_tokens", table(spark, sf, "mix_targets"), too_small=0.0)
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """The documents chosen for the mixture, in training order."""
-    return mixing.mix(_sized(spark, sf), "doc_id", "source", "n_tokens", table(spark, sf, "mix_targets"))
+    return _mixture(spark, sf)[0]
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The share of all tokens each source really reached."""
-    return mixing.shares(p7_mixture(spark, sf), "source", table(spark, sf, "mix_targets"))
+    """The share of all tokens each source really reached, and whether it was passed over when the total was set."""
+    mixed, planned = _mixture(spark, sf)
+    return mixing.shares(mixed, "source", table(spark, sf, "mix_targets"), planned)
 
 
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
