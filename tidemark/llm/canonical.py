@@ -1,9 +1,10 @@
 """Mapping free-entered values to the closest entry of a reference list.
 
 Distinct values are normalised, cut into character n-grams and looked up in an
-inverted index of the reference entries; candidates are scored by idf-weighted
-cosine. The best one is accepted above a threshold and a margin over the next
-entry, with an edit-distance check on the few candidates that are left.
+inverted index of the reference entries; candidates are those that reach a low
+idf-weighted cosine. Edit distance decides between them: few letters may differ, and
+the entry with the fewest wins. Cosine and a margin only decide between equally
+distant entries.
 """
 
 from __future__ import annotations
