@@ -45,9 +45,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stories(spark: SparkSession, sf: str) -> DataFrame:
-    titles = table(spark, sf, "docs").groupBy("doc_id").agg(F.max("title").alias("title"))
-    texts = table(spark, sf, "doc_text").where(F.col("text").rlike("\\S") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("text").alias("text"))
-    return texts.join(titles, "doc_id", "left").select("doc_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "text").alias("story"))
+    titles = table(spark, sf, "docs").select("doc_id", "title", F.lit(None).cast("string").alias("text"))
+    texts = table(spark, sf, "doc_text").where(F.col("text").rlike("\\S")).select("doc_id", F.lit(None).cast("string").alias("title"), "text")
+    # Titles and texts meet in one exchange; equal rows collapse before it.
+    both = titles.unionByName(texts).where("doc_id is not null").groupBy("doc_id").agg(F.max("title").alias("title"), F.max("text").alias("text"))
+    return both.where("text is not null").select("doc_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "text").alias("story"))
 
 
 def _similar(spark: SparkSession, sf: str) -> neardup.NearDuplicates:
