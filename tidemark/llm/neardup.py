@@ -26,7 +26,7 @@ SYMBOLS, RADIUS, TABLES = 5, 1, 12
 #: Min-hashes that give two bits each to a text's sketch, by which colliding pairs are screened.
 SKETCH = 64
 #: Bits of a variant's key; chance meetings fall to the screen.
-KEY_BITS = 40
+KEY_BITS = 32
 #: Rows and words worked on at a time: a row's number and 52 bits of a hash share a word.
 ROWS, WORDS = 4096, 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -56,9 +56,9 @@ def _parts(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def shingle_sets(col: pa.ListArray, width: int) -> np.ndarray:
-    """The distinct shingles of every row as sorted (row << 52 | hash)."""
+    """The distinct shingles of every row, given its words' hashes, as sorted (row << 52 | hash)."""
     off = col.offsets.to_numpy().astype(np.int64)
-    flat = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
+    flat = col.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint32).astype(np.uint64)
     n = len(flat) - width + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
@@ -150,9 +150,9 @@ class NearDuplicates:
 
     def __init__(self, texts: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, symbols: int = SYMBOLS, radius: int = RADIUS, tables: int = TABLES) -> None:
         kept = texts.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-        hashed = kept.select(F.col(f"`{key}`").alias("id"), F.transform(words(F.col(f"`{text}`")), lambda w: F.xxhash64(w)).alias("words"))
+        hashed = kept.select(F.col(f"`{key}`").alias("id"), F.transform(words(F.col(f"`{text}`")), lambda w: F.hash(w)).alias("words"))
         kind = texts.schema[key].dataType.simpleString()
-        prints = hashed.mapInArrow(_prints(width, symbols * tables), f"id {kind}, words array<bigint>, n int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, marks array<smallint>")
+        prints = hashed.mapInArrow(_prints(width, symbols * tables), f"id {kind}, words array<int>, n int, h1 bigint, h2 bigint, s1 bigint, s2 bigint, marks array<smallint>")
         self.rows = materialize(prints.withColumn("nid", F.monotonically_increasing_id()), "prints")
 
         # Copies are looked for by the sums over the sets; only classes of several rows are written down.
