@@ -65,9 +65,11 @@ def test_stretches(spark, prototypes):
 
 def test_edges(spark, prototypes):
     quoted = _text(random.Random(4), "en") + ' He left ("comme on dit ici") at once.'
-    rows = [(1, None), (2, ""), (3, " \n"), (4, "12 34.5"), (5, quoted), (5, quoted), (6, _text(random.Random(5), "de", 2000)), (7, "日本語")]
-    got = sorted((x["doc_id"], x["seg_no"], x["lang"]) for x in _detect(spark, prototypes, rows).collect() if x["doc_id"] != 7)
-    assert got == [(5, 0, "en"), (5, 0, "en"), (6, 0, "de")]
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "12 34.5"), (5, quoted), (5, quoted), (6, _text(random.Random(5), "de", 2000)), (7, "日本語"), (8, "Собака спит. Кошка ест."), (9, "Ok."), (10, "a\x00b" * 9)]
+    found = _detect(spark, prototypes, rows).collect()
+    got = sorted((x["doc_id"], x["seg_no"], x["lang"]) for x in found if x["doc_id"] != 10)
+    assert got == [(5, 0, "en"), (5, 0, "en"), (6, 0, "de"), (7, 0, "und"), (8, 0, "und"), (9, 0, "und")]
+    assert {(x["confidence"], x["n_sentences"], x["start"]) for x in found if x["lang"] == "und"} == {(0.0, 0, 0)} and sum(x["doc_id"] == 10 for x in found) == 1
     assert _detect(spark, prototypes, []).count() == 0
     assert _detect(spark, np.zeros_like(prototypes), rows).count() == 0
     same = hdlang.detect(spark.createDataFrame(rows[4:5], "lang long, text string"), ["lang"], "text", prototypes)
@@ -90,3 +92,34 @@ def test_labels(spark):
     rows = [("en", "en"), (" EN ", "en"), ("en_US", "en"), ("eng", "en"), ("English", "en"), ("pt-BR", "pt"), ("es-419", "es"), ("German", "de"), ("The", None), ("nl", None), ("", None), (None, None), ("english (uk)", "en")]
     df = spark.createDataFrame(rows, "l string, want string")
     assert df.where(~F.coalesce(hdlang.label_language(F.col("l")), F.lit("")).eqNullSafe(F.coalesce("want", F.lit("")))).count() == 0
+
+
+def test_confidence_says_how_often_it_is_right(spark, prototypes):
+    r, rows, want = random.Random(9), [], {}
+    for i in range(600):
+        want[i] = r.choice(list(PARTS))
+        w = _text(r, want[i], 1).split()
+        rows.append((i, " ".join(r.sample(w, min(len(w), r.choice([2, 3, 8]))))))
+    got = [(x["confidence"], x["lang"] == want[x["doc_id"]]) for x in _detect(spark, prototypes, rows).collect() if x["lang"] != "und"]
+    high, low = [ok for c, ok in got if c >= 0.9], [ok for c, ok in got if c < 0.7]
+    assert sum(high) >= 0.97 * len(high) and sum(high) / len(high) > sum(low) / max(1, len(low))
+    assert all(0 < c <= 1 for c, _ in got)
+
+
+def test_side_by_side_is_one_by_one():
+    r = np.random.default_rng(1)
+    size = r.integers(1, 9, 60)
+    first, gain = np.cumsum(size) - size, r.normal(size=(size.sum(), 6))
+    alone = [hdlang.segments(gain[a : a + n], np.array([0]), 1.0) for a, n in zip(first, size)]
+    assert (np.concatenate(alone) == hdlang.segments(gain, first, 1.0)).all()
+    for a, n in zip(first, size):
+        if n < 6:
+            every = np.array(np.meshgrid(*[range(6)] * n)).T.reshape(-1, n)
+            value = gain[a + np.arange(n), every].sum(axis=1) - (every[:, 1:] != every[:, :-1]).sum(axis=1)
+            assert (every[value.argmax()] == hdlang.segments(gain[a : a + n], np.array([0]), 1.0)).all()
+
+
+def test_long_texts_are_sampled_for_training(spark):
+    rows = [(_text(random.Random(i), lang, 900), lang) for i, lang in enumerate(PARTS)]
+    p = hdlang.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert p.any(axis=1).all()

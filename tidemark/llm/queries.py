@@ -109,7 +109,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Languages of texts whose label is missing or wrong, and of all stretches of mixed texts."""
     s = p8_segments(spark, sf)
     right = F.coalesce(hdlang.label_language(F.col("label")) == F.col("lang"), F.lit(False))
-    return s.where((F.col("seg_no") > 0) | ~right).select("doc_id", "seg_no", "lang").distinct()
+    return s.where(((F.col("seg_no") > 0) | ~right) & (F.col("lang") != hdlang.UNDETERMINED)).select("doc_id", "seg_no", "lang").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
