@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def range_parts(df: DataFrame) -> int:
+    """Partitions for a range exchange of ``df``: about the advisory size each, at least the session's shuffle partitions.
+
+    The size is Catalyst's estimate from the files read, so nothing is run for it;
+    rows take about twice the bytes of their Parquet file. Without an estimate (no
+    file behind the plan) the session's number holds.
+    """
+    conf = df.sparkSession.conf
+    least = max(int(conf.get("spark.sql.shuffle.partitions")), 1)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    target = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    return least if size > 1 << 50 else max(least, min(100_000, -(-2 * size // target)))
+
+
 #: The folder of sessions that name none, by application; and the tables written, to be deleted at exit.
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[object, str]] = []
@@ -32,11 +47,15 @@ _WRITTEN: list[tuple[object, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary local
-    folder is created and used for the rest of the application.
+    Only where a session that runs on one machine (master ``local``) names none, as in
+    tests, a temporary local folder is created and used for the rest of the
+    application; on a cluster that is an error, as executors couldn't see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the master is {master}")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
