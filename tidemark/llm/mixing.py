@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.prefix import running_sum
-from tidemark.runtime import materialize
+from tidemark.runtime import materialize, range_parts
 
 #: A source whose repeats give less than its share of this part of all listed tokens doesn't limit the total.
 TOO_SMALL = 0.1
@@ -68,7 +68,7 @@ def mix_and_plan(docs: DataFrame, key: str, source: str, size: str, targets: Dat
     sized = materialize(sized.withColumn("shuffled", F.xxhash64("key", F.lit("mix"))), "sized")
     p = materialize(plan(sized, targets, total_tokens, too_small), "plan")
     listed = sized.join(p.select("source", "demand"), "source").withColumn("late", F.col("n_tokens") > F.col("demand")).drop("demand")
-    placed = running_sum(listed, "source", ["late", "shuffled", "key"], "n_tokens", "before").join(p, "source")
+    placed = running_sum(listed, "source", ["late", "shuffled", "key"], "n_tokens", "before", range_parts(sized)).join(p, "source")
     middle = F.col("before") + F.col("n_tokens") / 2.0
     passes = F.floor((F.col("demand") - middle) / F.col("available")).cast("int")
     used = placed.where(middle <= F.col("demand")).select("*", F.explode(F.sequence(F.lit(0), F.least(passes, (F.col("max_repeats") - 1).cast("int")))).alias("copy_no"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.runtime import materialize
+from tidemark.runtime import materialize, range_parts
 
 
 def _running(n_cols: int):
@@ -47,18 +47,18 @@ def _running(n_cols: int):
     return run
 
 
-def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: str, partitions: int | None = None) -> DataFrame:
     """``df`` with ``out``, the sum of ``value`` over the rows before in the same group.
 
     The rows are range-partitioned and sorted on (group, order); every partition sums
     its rows, and the totals of the group each partition ends with (one row per
     partition) are prefix-summed into offsets. Null groups form a group, a null value
-    counts as 0.
+    counts as 0. There are as many ``partitions`` as the data's size asks for.
     """
     rest = [c for c in df.columns if c not in (group, value)]
     inner = df.select(F.col(group), F.coalesce(value, F.lit(0)).cast("bigint").alias(value), *rest)
     keys = [F.col(group).asc_nulls_first(), *[F.col(o) for o in order]]
-    ranged = inner.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = inner.repartitionByRange(partitions or range_parts(df), *keys).sortWithinPartitions(*keys)
     fields = [T.StructField(f.name, f.dataType, True) for f in inner.schema.fields]
     schema = T.StructType([*fields, T.StructField("_pid", T.IntegerType()), T.StructField("_run", T.LongType()), T.StructField("_end", T.LongType())])
     done = materialize(ranged.mapInArrow(_running(len(fields)), schema), "running")

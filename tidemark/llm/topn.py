@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.runtime import fresh, materialize
+from tidemark.runtime import fresh, materialize, range_parts
 
 
 def best_scores(df: DataFrame, group: str, item: str, score: str) -> DataFrame:
@@ -79,7 +79,8 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: st
     equal in all of it are distinct rows and take successive positions. Null group
     values form a group. All columns of ``df`` are kept, also ones named like the
     helpers; ``rank`` is added as int and, if ``df`` has such a column, lengthened
-    by ``_``. Groups smaller than ``n`` come out whole; an empty table gives an
+    by ``_``. The sort has ``partitions`` partitions, by default as many as the data's
+    size asks for. Groups smaller than ``n`` come out whole; an empty table gives an
     empty result; ``n`` below 1 gives none.
     """
     rank = fresh(rank, df.columns)
@@ -88,7 +89,7 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], n: int, rank: st
     inner = df.select([F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(group)] + [F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(rest)] + [o.alias(f"o{i}") for i, o in enumerate(_keys(order))])
     gs = [f"g{i}" for i in range(len(group))]
     keys = [F.col(g).asc_nulls_first() for g in gs] + [_direct(F.col(f"o{i}"), o) for i, o in enumerate(order)]
-    ranged = inner.repartitionByRange(partitions, *keys) if partitions else inner.repartitionByRange(*keys)
+    ranged = inner.repartitionByRange(partitions or range_parts(df), *keys)
     kept = ranged.sortWithinPartitions(*keys).drop(*[f"o{i}" for i in range(len(order))])
     fields = [T.StructField(f.name, f.dataType, True) for f in kept.schema.fields]
     schema = T.StructType([*fields, T.StructField("_pid", T.IntegerType()), T.StructField("_pos", T.LongType()), T.StructField("_cnt", T.LongType())])
