@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -100,3 +101,49 @@ def test_burst_trie(items, burst):
         want[t][1] += 1
     got = [(p + s, c) for p, box in trie.subtrees() for s, c in box.items()]
     assert dict(got) == dict(want) and len(got) == len(want)
+
+
+def _boxes(spark, worker_rows, burst, flush=10**6):
+    """The containers of several workers' tries, as one table."""
+    parts = []
+    for rows in worker_rows:
+        b = pa.RecordBatch.from_pydict({"term": [t for t, _ in rows], "occurrences": [n for _, n in rows], "records": [1] * len(rows)}, schema=pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())]))
+        parts += list(termcount._grow(burst, flush)([b.slice(i, 40) for i in range(0, len(rows), 40)]))
+    rows = [r for b in parts for r in b.to_pylist()]
+    return spark.createDataFrame([(r["prefix"], r["suffixes"], r["occurrences"], r["records"]) for r in rows], termcount._BOX), {r["prefix"] for r in rows}
+
+
+def test_subtrees_of_workers_meet_and_merge(spark):
+    r = random.Random(7)
+    one = [("".join(r.choices("abc", k=r.randint(0, 5))), r.randint(1, 5)) for _ in range(900)]
+    two = [("ab" + "".join(r.choices("bcé", k=r.randint(0, 3))), 1) for _ in range(60)] + [("c", 9), ("zebra", 2)]
+    boxes, prefixes = _boxes(spark, [one, two, one[:5]], 8)
+    # the first worker burst deeper than the others, so containers of nested prefixes must meet
+    assert "" in prefixes and any(len(p) > 2 for p in prefixes)
+    want = defaultdict(lambda: [0, 0])
+    for t, n in [*one, *two, *one[:5]]:
+        want[t][0] += n
+        want[t][1] += 1
+    for subtree in (1, 20, 100, 10**6):
+        dense = termcount.dense_prefixes(boxes, subtree)
+        assert all(p[:k] in dense for p in dense for k in range(len(p))) and (subtree < 10**6 or not dense)
+        got = termcount.merged(boxes, dense, 8).collect()
+        assert len(got) == len(want) and {x["term"]: [x["occurrences"], x["records"]] for x in got} == dict(want)
+
+
+def test_routes_follow_the_vocabulary():
+    dense = frozenset({"", "a", "ab"})
+    assert [termcount.route(t, dense) for t in ("", "a", "ab", "abc", "abcd", "ax", "b", "bcd")] == ["", "a", "ab", "abc", "abc", "ax", "b", "b"]
+
+
+def test_tries_are_written_out_at_their_limit(spark):
+    rows = [(f"t{i}", 1) for i in range(400)] * 2
+    old = termcount.GATHER
+    termcount.GATHER = 40
+    try:
+        boxes, _ = _boxes(spark, [rows], 16, flush=100)
+    finally:
+        termcount.GATHER = old
+    terms = [p + s for p, x in ((r["prefix"], r["suffixes"]) for r in boxes.collect()) for s in x]
+    assert len(terms) > len(set(terms)) == 400
+    assert {tuple(x) for x in termcount.merged(boxes, frozenset()).collect()} == {(f"t{i}", 2, 2) for i in range(400)}
