@@ -34,7 +34,7 @@ def range_parts(df: DataFrame) -> int:
     """
     conf = df.sparkSession.conf
     least = max(int(conf.get("spark.sql.shuffle.partitions")), 1)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes").lower()).groups()
     target = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
     return least if size > 1 << 50 else max(least, min(100_000, -(-2 * size // target)))
