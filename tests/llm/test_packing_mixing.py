@@ -98,3 +98,37 @@ def test_mix_with_a_total_and_empty(spark):
     assert abs(m.agg(F.sum("n_tokens")).first()[0] - 5000 * 0.9) < 120
     none = mixing.mix(spark.createDataFrame([], "doc_id long, source string, n_tokens int"), "doc_id", "source", "n_tokens", t)
     assert none.count() == 0 and {r["reached_share"] for r in mixing.shares(none, "source", t).collect()} == {0.0}
+
+
+def test_schedules_are_followed(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 1) for i in range(8000)], "doc_id long, source string, n_tokens int")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    points = [("a", 0.0, 1.0), ("a", 0.5, 3.0), ("a", 0.5, 2.0), ("a", 1.0, 0.0), ("b", 0.5, 2.0), ("b", 2.0, 9.0), ("b", None, 9.0), (None, 0.1, 1.0), ("b", 0.2, None)]
+    s = spark.createDataFrame(points, "source string, time double, weight double")
+    rows = mixing.mix(docs, "doc_id", "source", "n_tokens", t, schedules=s).collect()
+    at = sorted(r["position"] for r in rows if r["source"] == "a")
+    # the integral of the weights 1 to 3 over the first half is 1, that of 3 to 0 over the second 0.75
+    for time, part in ((0.25, (0.25 + 0.125) / 1.75), (0.5, 1 / 1.75), (0.75, (1 + 0.5625) / 1.75)):
+        assert abs(sum(x <= time for x in at) / len(at) - part) < 0.002
+    b = [r["position"] for r in rows if r["source"] == "b"]
+    assert abs(sum(x <= 0.3 for x in b) / len(b) - 0.3) < 0.002 and 0 <= min(b) and max(b) <= 1
+    assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
+
+
+def test_a_schedule_may_begin_late(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 1) for i in range(2000)], "doc_id long, source string, n_tokens int")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    s = spark.createDataFrame([("a", 0.0, 0.0), ("a", 0.6, 0.0), ("a", 0.7, 1.0), ("b", 0.3, 0.0)], "source string, time double, weight double")
+    rows = mixing.mix(docs, "doc_id", "source", "n_tokens", t, schedules=s).collect()
+    a = [r["position"] for r in rows if r["source"] == "a"]
+    assert len(a) == 1000 and min(a) >= 0.6 and max(a) <= 1
+    # a schedule without any weight is none
+    assert abs(sum(r["position"] <= 0.5 for r in rows if r["source"] == "b") - 500) < 3
+
+
+def test_repeated_evaluation_and_identifiers(spark):
+    rows = [(7, 230)] * 40 + [(i, 90) for i in range(30)]
+    specs = spark.createDataFrame([(1, 100)], "spec_id int, capacity int")
+    df = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), "doc_id", "n_tokens", specs, shard_tokens=500)
+    one, two = (sorted((r["container_id"], r["items"]) for r in df.collect()) for _ in range(2))
+    assert one == two and len({x for x, _ in one}) == len(one)

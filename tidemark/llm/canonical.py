@@ -1,10 +1,10 @@
 """Mapping free-entered values to the closest entry of a reference list.
 
 Distinct values are normalised, cut into character n-grams and looked up in an
-inverted index of the reference entries; candidates are those that reach a low
-idf-weighted cosine. Edit distance decides between them: few letters may differ, and
-the entry with the fewest wins. Cosine and a margin only decide between equally
-distant entries.
+inverted index of the reference entries; the entry with the highest idf-weighted
+cosine is accepted if it reaches a threshold and leads the next entry by a margin.
+Between entries within the margin the one with fewer differing letters is meant. Only
+the rarest n-grams that the threshold needs are looked up (prefix filtering).
 """
 
 from __future__ import annotations
@@ -17,18 +17,8 @@ from pyspark.sql import functions as F
 
 from tidemark.runtime import fresh, materialize
 
-#: Whole words written short or in another spelling.
-WORDS = {
-    "mt": "mount", "mnt": "mount", "ft": "fort", "pt": "port", "prt": "port", "st": "saint", "ste": "saint",
-    "n": "north", "no": "north", "nth": "north", "s": "south", "so": "south", "sth": "south", "hts": "heights", "hgts": "heights", "jctn": "junction", "jct": "junction", "jn": "junction",
-    "hbr": "harbor", "harbour": "harbor", "spgs": "springs", "spr": "springs", "fls": "falls", "upr": "upper",
-}
-#: Rows of the inverted index (about 60 bytes each) up to which it is broadcast.
-INDEX_BROADCAST_ROWS = 500_000
-#: Most letters that may differ, for long names.
-MAX_SLIPS = 3
-#: Wrappers that say nothing about the place meant.
-NOISE = (r"^in ", r"^city of ", r" city desk$", r" desk$", r"^desk of ")
+#: Rows of the inverted index (about 60 bytes each) up to which it is broadcast; only the plan depends on it.
+INDEX_BROADCAST_ROWS = 2_000_000
 _CP1252 = {ord(bytes([b]).decode("cp1252")): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
@@ -49,45 +39,65 @@ def fold(c: Column) -> Column:
     return c
 
 
-def tidy(c: Column, words: dict[str, str] | None = None, noise: tuple[str, ...] = NOISE) -> Column:
-    """Words only, single blanks, digits and signs used for letters read as letters, spelled-out abbreviations, no wrappers."""
-    table = WORDS if words is None else words
-    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def tidy(c: Column, words: dict[str, str] | None = None, noise: tuple[str, ...] = (), signs: dict[str, str] | None = None) -> Column:
+    """Words only, with single blanks.
 
-    def word(w: Column) -> Column:
-        # A sign or digit only stands for a letter inside a word that has letters.
-        letters = F.when(w.rlike("\\p{L}"), F.translate(w, "013457@$", "oleastas")).otherwise(w)
-        return F.coalesce(F.try_element_at(known, letters), letters)
+    ``words`` are whole words to replace, ``signs`` characters to replace inside words
+    that have letters, ``noise`` patterns to cut out at last.
+    """
+    extra = "".join(x for x in signs or {} if not x.isalnum())
+    c = F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}" + "".join("\\" + x for x in extra) + "]+", " "))
+    if words or signs:
+        known = F.create_map(*[F.lit(x) for pair in (words or {"": ""}).items() for x in pair])
+
+        def word(w: Column) -> Column:
+            letters = F.when(w.rlike("\\p{L}"), F.translate(w, "".join(signs), "".join(signs.values()))).otherwise(w) if signs else w
+            return F.coalesce(F.try_element_at(known, letters), letters)
 
-    c = F.regexp_replace(c, "(?<=s):(?=t\\b)", "")
-    c = F.trim(F.regexp_replace(c, "[^\\p{L}\\p{N}@$]+", " "))
-    c = F.array_join(F.transform(F.split(c, " "), word), " ")
+        c = F.array_join(F.transform(F.split(c, " "), word), " ")
     return F.trim(F.regexp_replace(c, "|".join(noise), "")) if noise else c
 
 
+def _letters(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(c, "")), "")
+
+
 def _grams(c: Column) -> Column:
-    """3-grams of the value without blanks, with doubly marked ends."""
-    s = F.concat(F.lit("^^"), F.regexp_replace(c, " ", ""), F.lit("$$"))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
+    """3-grams with doubly marked ends, the same with their letters sorted, which letters that changed places leave alike, and 2-grams."""
+    s = F.concat(F.lit("^^"), c, F.lit("$$"))
+    three = F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(3)))
+    two = F.transform(F.sequence(F.lit(2), F.length(s) - 2), lambda i: F.substring(s, i, F.lit(2)))
+    return F.concat(three, F.transform(three, lambda g: F.concat(F.lit("~"), _letters(g))), two)
 
 
-def _letters(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(c, "")), "")
+def _slips(x: Column, y: Column) -> Column:
+    """Differing letters; two that changed places are one."""
+    edits = F.levenshtein(x, y)
+    return F.when((edits == 2) & (F.length(x) == F.length(y)) & (_letters(x) == _letters(y)), F.lit(1)).otherwise(edits)
 
 
-def map_values(values: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_name: str, ref_context: str | None = None, threshold: float = 0.2, margin: float = 0.02) -> DataFrame:
+def map_values(
+    values: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_name: str, ref_context: str | None = None, threshold: float = 0.4, margin: float = 0.06,
+    words: dict[str, str] | None = None, noise: tuple[str, ...] = (), signs: dict[str, str] | None = None, most_slips: int | None = None,
+) -> DataFrame:
     """``value`` and the id of the reference entry it means, one row per distinct value.
 
     ``values`` may hold repeated rows; they are deduplicated first, so a value typed
     a billion times costs as much as one typed once. Null values are left out.
     Blank values and values with no acceptable entry get id -1. With ``ref_context``
     (the country of a city) "name context" is an alias of the entry, and the context
-    alone names nothing. An entry is accepted if its cosine reaches ``threshold``,
-    few letters differ from the alias it matched, and it leads the next entry by
-    ``margin`` in cosine or by a smaller edit distance; otherwise the value is
-    ambiguous and gets -1. An exact match ignoring case, accents and spacing always
-    wins. The result has the columns ``value``, ``ref_id`` (type of the reference)
-    and ``score``.
+    alone names nothing. The entry with the highest cosine is accepted if that
+    reaches ``threshold`` and no other entry is within ``margin``; of entries within
+    the margin the one with the fewest differing letters is accepted, and if several
+    have as few, the value is ambiguous and gets -1. An exact match ignoring case,
+    accents and spacing always wins. The result has the columns ``value``, ``ref_id``
+    (type of the reference) and ``score``.
+
+    Nothing is known of the values beforehand. A caller may give ``words`` (spellings
+    and abbreviations to replace), ``signs`` (characters that stand for letters),
+    ``noise`` (patterns to cut from values), and with ``most_slips`` an exact check of
+    the accepted entry: at most 0, 1, 2 or ``most_slips`` letters may differ, for
+    names under 5, 8 and 14 letters and longer ones.
     """
     spark = values.sparkSession
     # A fixed number of partitions by form: what follows fans out by the index and keeps this partitioning to the end.
@@ -97,12 +107,12 @@ def map_values(values: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_n
     plain = F.regexp_replace(f, "[\\[\\](){}\"']", " ")
     bare = F.regexp_replace(f, "\\[[^\\]]*\\]|\\([^)]*\\)", " ")
     turned = F.regexp_replace(bare, "^([^,]+),([^,]+)$", "$2 $1")
-    pairs = v.withColumn("f", fold(F.col("v"))).select("v", F.explode(F.array_distinct(F.transform(F.array(plain, bare, turned), lambda x: tidy(x)))).alias("form")).where("form <> ''")
+    pairs = v.withColumn("f", fold(F.col("v"))).select("v", F.explode(F.array_distinct(F.transform(F.array(plain, bare, turned), lambda x: tidy(x, words, noise, signs)))).alias("form")).where("form <> ''")
     pairs = pairs.withColumn("form", F.regexp_replace("form", " ", ""))
 
     # -1 stands for a context that is no entry.
     r = ref.select(F.col(f"`{ref_id}`").cast("long").alias("rid"), F.col(f"`{ref_name}`").alias("name"), (F.col(f"`{ref_context}`") if ref_context else F.lit(None).cast("string")).alias("ctx")).where("name is not null")
-    name, ctx = tidy(fold(F.col("name")), noise=()), tidy(fold(F.col("ctx")), noise=())
+    name, ctx = (tidy(fold(F.col(c)), words, (), signs) for c in ("name", "ctx"))
     names = r.select("rid", name.alias("alias"))
     if ref_context:
         both = r.where("ctx is not null").select("rid", F.concat_ws(" ", name, ctx).alias("alias"))
@@ -111,46 +121,47 @@ def map_values(values: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_n
     names = names.withColumn("alias", F.regexp_replace("alias", " ", "")).where("alias <> ''").distinct()
     names = materialize(names.withColumn("aid", F.monotonically_increasing_id()), "alias")
 
-    tf = names.select("aid", F.length("alias").alias("alen"), F.explode(_grams(F.col("alias"))).alias("g")).groupBy("aid", "alen", "g").agg(F.count(F.lit(1)).alias("tf"))
+    def unit(grams: DataFrame, key: str) -> DataFrame:
+        """Weights of the n-grams as a vector of length 1, and what of its square is left from each n-gram on, rarest first."""
+        whole = Window.partitionBy(key)
+        rarest = whole.orderBy(F.col("w").desc(), "g").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        x = grams.withColumn("x", F.col("tf") * F.col("w")).withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(whole)))
+        return x.withColumn("left", F.sum(F.col("x") * F.col("x")).over(rarest)).select(key, "g", "w", "x", "left")
+
+    tf = names.select("aid", F.explode(_grams(F.col("alias"))).alias("g")).groupBy("aid", "g").agg(F.count(F.lit(1)).alias("tf"))
     n_alias = names.count()
     top = math.log(1.0 + n_alias)
     idf = tf.groupBy("g").agg(F.log(1 + F.lit(n_alias) / F.count(F.lit(1))).alias("w"))
-    index = tf.join(idf, "g").withColumn("wt", F.col("tf") * F.col("w"))
-    index = index.select("aid", "alen", "g", "w", (F.col("wt") / F.sqrt(F.sum(F.col("wt") * F.col("wt")).over(Window.partitionBy("aid")))).alias("unit"))
-    index = materialize(index, "index")
-    # The broadcast is decided by the counted size of the index; a larger reference list is joined by shuffle.
+    index = materialize(unit(tf.join(idf, "g"), "aid"), "index")
+    # The broadcast is decided by the counted size of the index; a larger reference list is joined by shuffle, with the same result.
     held = F.broadcast if index.count() <= INDEX_BROADCAST_ROWS else (lambda x: x)
 
     forms = pairs.select("form").distinct().repartition(parts, "form")
     asked = forms.select("form", F.explode(_grams(F.col("form"))).alias("g")).groupBy("form", "g").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = asked.join(held(index.select("g", "w").distinct()), "g", "left").select("form", "g", (F.col("tf") * F.coalesce("w", F.lit(top))).alias("wt"))
-    unit = weighed.select("form", "g", (F.col("wt") / F.sqrt(F.sum(F.col("wt") * F.col("wt")).over(Window.partitionBy("form")))).alias("a"))
-    # No alias further away in length can be within the allowed slips.
-    near = F.abs(F.length("form") - F.col("alen")) <= MAX_SLIPS
-    hits = unit.join(held(index.select("aid", "alen", "g", "unit")), "g").where(near).groupBy("form", "aid").agg(F.sum(F.col("a") * F.col("unit")).alias("cos"))
-    scored = hits.where(F.col("cos") >= threshold).join(held(names), "aid")
-
-    edits = F.levenshtein("form", "alias", MAX_SLIPS + 1)
-    near_enough = scored.withColumn("edits", edits).where("edits >= 0")
-    # Two letters changing places are one slip.
-    slips = F.when((F.col("edits") == 2) & (F.length("form") == F.length("alias")) & (_letters(F.col("form")) == _letters(F.col("alias"))), F.lit(1)).otherwise(F.col("edits"))
-    core = F.least(F.length("form"), F.length("alias"))
-    close = near_enough.withColumn("slips", slips).where(F.col("slips") <= F.when(core < 5, 0).when(core < 8, 1).when(core < 14, 2).otherwise(MAX_SLIPS))
-    best = pairs.join(close, "form").groupBy("v", "rid").agg(F.min(F.struct("slips", (-F.col("cos")).alias("neg"))).alias("m")).select("v", "rid", F.col("m.slips").alias("slips"), (-F.col("m.neg")).alias("cos"))
+    vectors = unit(asked.join(held(index.select("g", "w").distinct()), "g", "left").withColumn("w", F.coalesce("w", F.lit(top))), "form")
+    # Two vectors that reach the threshold share an n-gram before which neither has used up all but the threshold's square.
+    needed = F.col("left") >= threshold * threshold - 1e-9
+    met = vectors.where(needed).select("form", "g").join(held(index.where(needed).select("g", "aid")), "g").select("form", "aid").distinct()
+    dot = met.join(vectors.select("form", "g", "x"), "form").join(held(index.select("aid", "g", F.col("x").alias("y"))), ["aid", "g"]).groupBy("form", "aid").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
+    scored = dot.where(F.col("cos") >= threshold).join(held(names), "aid").withColumn("slips", _slips(F.col("form"), F.col("alias"))).withColumn("core", F.least(F.length("form"), F.length("alias")))
+
+    best = pairs.join(scored, "form").groupBy("v", "rid").agg(F.max(F.struct("cos", (-F.col("slips")).alias("neg"), "core")).alias("m")).select("v", "rid", "m.cos", (-F.col("m.neg")).alias("slips"), "m.core")
+    near = best.withColumn("top", F.max("cos").over(Window.partitionBy("v"))).where((F.col("top") - F.col("cos") < margin) | (F.col("top") == F.col("cos")))
     w = Window.partitionBy("v").orderBy("slips", F.col("cos").desc(), "rid")
-    ranked = best.select("*", F.row_number().over(w).alias("k"), F.lead("slips").over(w).alias("slips2"), F.lead("cos").over(w).alias("cos2"))
-    sure = F.col("slips2").isNull() | (F.col("slips") < F.col("slips2")) | (F.col("cos") - F.col("cos2") >= margin)
-    won = ranked.where((F.col("k") == 1) & sure).select("v", "rid", "cos")
+    ranked = near.select("*", F.row_number().over(w).alias("k"), F.lead("slips").over(w).alias("slips2"))
+    won = ranked.where((F.col("k") == 1) & (F.col("slips2").isNull() | (F.col("slips") < F.col("slips2"))))
+    if most_slips is not None:
+        won = won.where(F.col("slips") <= F.least(F.lit(most_slips), F.when(F.col("core") < 5, 0).when(F.col("core") < 8, 1).when(F.col("core") < 14, 2).otherwise(most_slips)))
     kind = ref.schema[ref_id].dataType
-    return v.join(won, "v", "left").select(F.col("v").alias(value), F.coalesce("rid", F.lit(-1).cast("long")).cast(kind).alias(ref_id), F.coalesce("cos", F.lit(0.0)).alias("score"))
+    return v.join(won.select("v", "rid", "cos"), "v", "left").select(F.col("v").alias(value), F.coalesce("rid", F.lit(-1).cast("long")).cast(kind).alias(ref_id), F.coalesce("cos", F.lit(0.0)).alias("score"))
 
 
-def map_column(df: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_name: str, ref_context: str | None = None, **options: float) -> DataFrame:
+def map_column(df: DataFrame, value: str, ref: DataFrame, ref_id: str, ref_name: str, ref_context: str | None = None, **options: object) -> DataFrame:
     """``df`` with the id of the entry that ``value`` means; rows with a null ``value`` get null.
 
     The distinct values are mapped once and joined back; a hot value is one row on
     the mapping side, and its rows on the other side are split by the adaptive skew
-    join. A column of ``df`` named like ``ref_id`` is kept, the new one is then
+    join. ``options`` are those of ``map_values``. A column of ``df`` named like ``ref_id`` is kept, the new one is then
     lengthened by ``_``.
     """
     out = fresh(ref_id, df.columns)

@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity: best-fit decreasing with a segment tree.
 
-The items are dealt into shards of a bounded number of tokens by a hash of their
-identifier; every shard is packed on its own, so no task sees more than its shard
+The items are written down once, which numbers their rows, and dealt into shards of a
+bounded number of tokens by a hash of row and identifier, so that a repeated identifier
+is spread too; every shard is packed on its own, so no task sees more than its shard
 and the number of containers that end up partly empty is at most a few per shard.
 """
 
@@ -94,11 +95,14 @@ def pack(items: DataFrame, item: str, size: str, specs: DataFrame, spec: str = "
     non-positive capacity give nothing; each spec id should occur once; more than
     MOST_SPECS rows are refused.
 
+    The same evaluation always has the same containers and identifiers, as they are
+    made from the rows as written.
+
     Columns: spec_id, container_id (unique within the spec), capacity, n_items, used,
     unused, items: array of (item, piece_no from 0, start, n_tokens), start counting
     tokens of the item.
     """
-    kept = materialize(items.select(F.col(f"`{item}`").alias("item"), F.col(f"`{size}`").cast("bigint").alias("n")).where("n > 0"), "sizes")
+    kept = materialize(items.select(F.col(f"`{item}`").alias("item"), F.col(f"`{size}`").cast("bigint").alias("n")).where("n > 0").withColumn("row", F.monotonically_increasing_id()), "sizes")
     total = kept.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
     wanted = specs.select(F.col(f"`{spec}`").alias("spec_id"), F.col(f"`{capacity}`").cast("bigint").alias("capacity")).where("capacity > 0").limit(MOST_SPECS + 1)
@@ -108,11 +112,11 @@ def pack(items: DataFrame, item: str, size: str, specs: DataFrame, spec: str = "
     # Every item is wanted once by every spec: the result has that size.
     choices = [F.struct(F.lit(r["spec_id"]).cast(sid).alias("spec_id"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in listed]
     choices = F.array(*choices) if choices else F.array().cast(f"array<struct<spec_id: {sid.simpleString()}, capacity: bigint>>")
-    each = kept.select("item", "n", F.explode(choices).alias("c")).select("item", "n", "c.spec_id", "c.capacity")
+    each = kept.select("row", "item", "n", F.explode(choices).alias("c")).select("row", "item", "n", "c.spec_id", "c.capacity")
     whole = F.floor(F.col("n") / F.col("capacity"))
-    full = each.where(F.col("n") >= F.col("capacity")).select("spec_id", "capacity", "item", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece_no"))
-    full = full.select("spec_id", F.concat_ws("-", F.lit("full"), F.xxhash64("item").cast("string"), F.coalesce(F.col("item").cast("string"), F.lit("")), "piece_no", F.monotonically_increasing_id()).alias("container_id"), "capacity", F.lit(1).alias("n_items"), F.col("capacity").alias("used"), F.lit(0).cast("bigint").alias("unused"), F.array(F.struct("item", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))).alias("items"))
-    rest = each.select("spec_id", "capacity", "item", whole.cast("int").alias("piece_no"), (whole * F.col("capacity")).cast("bigint").alias("start"), (F.col("n") % F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("item", F.lit("deal")), F.lit(shards)).cast("int").alias("shard")).where("n_tokens > 0")
+    full = each.where(F.col("n") >= F.col("capacity")).select("spec_id", "capacity", "row", "item", F.explode(F.sequence(F.lit(0), whole.cast("int") - 1)).alias("piece_no"))
+    full = full.select("spec_id", F.concat_ws("-", F.lit("full"), "row", "piece_no").alias("container_id"), "capacity", F.lit(1).alias("n_items"), F.col("capacity").alias("used"), F.lit(0).cast("bigint").alias("unused"), F.array(F.struct("item", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))).alias("items"))
+    rest = each.select("spec_id", "capacity", "item", whole.cast("int").alias("piece_no"), (whole * F.col("capacity")).cast("bigint").alias("start"), (F.col("n") % F.col("capacity")).alias("n_tokens"), F.pmod(F.xxhash64("item", "row", F.lit("deal")), F.lit(shards)).cast("int").alias("shard")).where("n_tokens > 0")
     kind = rest.schema["item"].dataType.simpleString()
     schema = f"spec_id {sid.simpleString()}, capacity bigint, item {kind}, piece_no int, start bigint, n_tokens bigint, shard int, bin bigint"
     packed = rest.groupBy("spec_id", "shard").applyInPandas(_pack, schema)
