@@ -71,7 +71,7 @@ def test_index_tables(built):
     assert [r["city"] for r in built.city_names().collect()] == ["New york", "Paris"]
     assert {r["term"] for r in built.key_entities("FX-0004").collect()} == {"grain"}
     s = built.summary().first()
-    assert s["documents"] == 7 and s["terms"] == len(terms)
+    assert s["documents"] == 7 and s["terms"] == len(terms) and s["seconds"] > 0
 
 
 def test_postings_add_up(built):
@@ -92,7 +92,8 @@ def test_search_filters_and_export(spark, built, tmp_path):
     syn = spark.createDataFrame([("corn", 1, "grain", 20000), ("corn", 2, "ships", 5000)], "word string, rank int, sim_word string, score bigint")
     assert [r["doc_id"] for r in built.search("corn", synonyms=syn).collect()] == ["FX-0004"]
     sinks.write_run(built.search("ships"), f"file://{tmp_path}/run")
-    lines = sorted(r["value"] for r in spark.read.text(f"file://{tmp_path}/run").collect())
+    assert (tmp_path / "run").is_file() and not list(tmp_path.glob("*.parts"))
+    lines = sorted((tmp_path / "run").read_text().splitlines())
     assert lines == [f"0 0 {d} 1  2 mt" for d in sorted(hits)]
 
 
@@ -150,3 +151,29 @@ def test_countries_and_places(spark, tmp_path):
     (tmp_path / "c.json").write_text('[{"alpha2Code":"FR","name":"France","population":66710000,"currencies":[{"code":"EUR"}]},{"alpha2Code":"NO","name":"Norway","population":900,"currencies":[{"code":"NOK"}]}]')
     g = corpus.gazetteer(corpus.read_places(spark, f"file://{tmp_path}/w.csv"), corpus.read_countries(spark, f"file://{tmp_path}/c.json"))
     assert sorted(tuple(r) for r in g.collect()) == [("oslo", "Norway", "NOK", ""), ("paris", "France", "EUR", "66.71M")]
+
+
+def test_point_reads(spark, folder, built):
+    assert built.read_doc("FX-0003").select("doc_id", "max_tf").collect() == [("FX-0003", 3)] and built.read_doc("none").count() == 0
+    raw = corpus.read_corpus(spark, f"file://{folder}")
+    assert [r["doc_id"] for r in fields.documents(engine.read_chunk(raw, "FX-0004")).collect()] == ["FX-0004"]
+
+
+def test_search_reads_its_own_terms_only(built):
+    plan = built.search("ships")._jdf.queryExecution().executedPlan().toString()
+    assert "In(key" in plan or "EqualTo(key,ships)" in plan
+
+
+def test_later_deliveries_replace_earlier_ones(spark, gazetteer, tmp_path):
+    schema = "doc_id string, path string, ord int, text string, title string, language string, city string, date string"
+    rows = [("a", "", 0, "Ships ships", "t", "English", "Paris", ""), ("b", "", 0, "grain in paris", "t", "French", "", "")]
+    again = [("a", "", 0, "copper", "new", "English", "Paris", ""), ("a", "", 0, "copper", "new", "English", "Paris", "")]
+    stop = spark.createDataFrame([("in",)], "word string")
+    for part in (rows, again):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        incremental.index_stream(s, f"{tmp_path}/out", f"{tmp_path}/state", frozenset({"in"})).awaitTermination()
+    index = incremental.publish(spark, f"{tmp_path}/out", gazetteer, stop, f"{tmp_path}/index")
+    assert {(r["term"], r["doc_id"], r["tf"]) for r in index.postings.collect()} == {("copper", "a", 1), ("grain", "b", 1), ("paris", "b", 1)}
+    assert {(r["doc_id"], r["title"]) for r in index.docs.collect()} == {("a", "new"), ("b", "t")}
+    assert [r["doc_id"] for r in index.search("copper").collect()] == ["a"] and index.search("ships").count() == 0

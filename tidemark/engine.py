@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from tidemark.operators import ranking as rk
 from tidemark.sources import corpus, fields
 from tidemark.sources import sinks
 
-TABLES = ("docs", "postings", "terms", "cities", "mentions", "entities", "stop_words")
+TABLES = ("docs", "postings", "entries", "stats", "terms", "cities", "mentions", "entities", "stop_words")
+#: Distinct terms of one query that are pushed down to the scan of the entries; a longer one is joined.
+PUSHED_TERMS = 1_000
 
 
 @dataclass
@@ -23,6 +26,8 @@ class Index:
     spark: SparkSession
     docs: DataFrame
     postings: DataFrame
+    entries: DataFrame
+    stats: DataFrame
     terms: DataFrame
     cities: DataFrame
     mentions: DataFrame
@@ -43,26 +48,48 @@ class Index:
         """The best documents for one query."""
         return self.search_topics(corpus.ad_hoc(self.spark, text), **options)
 
-    def search_topics(self, topics: DataFrame, languages: list[str] | None = None, cities: list[str] | None = None, synonyms: DataFrame | None = None, depth: int = rk.DEPTH) -> DataFrame:
-        """The best documents of every topic (query_id, title, descr), in one plan."""
+    def weighted(self, topics: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+        """query_id, term, weight of topics (query_id, title, descr), read like documents."""
         if synonyms is not None:
             topics = corpus.expand(topics, synonyms)
-        stop = grammar.stop_set(self.stop_words)
-        q = rk.query_terms(topics, stop, self.stem, self.month_first)
+        return rk.query_terms(topics, grammar.stop_set(self.stop_words), self.stem, self.month_first)
+
+    def scored(self, qterms: DataFrame, languages: list[str] | None = None, cities: list[str] | None = None) -> DataFrame:
+        """bm25, cosine and score of every document with a query term, from the stored entries and statistics.
+
+        The entries are sorted by term: of a few terms, which are read first and
+        pushed down to the scan, only the row groups that hold them are read.
+        """
+        some = [r[0] for r in qterms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        stored = self.entries.where(F.col("key").isin(some)) if len(some) <= PUSHED_TERMS else self.entries
         only = rk.allowed(self.docs, self.mentions, languages, cities) if languages or cities else None
-        return rk.top(rk.scores(q, self.postings, self.docs, only), depth).select("query_id", "rank", "doc_id", "score")
+        return rk.score_entries(qterms, stored, self.stats, only)
+
+    def search_topics(self, topics: DataFrame, languages: list[str] | None = None, cities: list[str] | None = None, synonyms: DataFrame | None = None, depth: int = rk.DEPTH) -> DataFrame:
+        """The best documents of every topic (query_id, title, descr), in one plan."""
+        return rk.top(self.scored(self.weighted(topics, synonyms), languages, cities), depth).select("query_id", "rank", "doc_id", "score")
 
     def key_entities(self, doc_id: str) -> DataFrame:
         """The key entities of one document."""
         return self.entities.where(F.col("doc_id") == doc_id).orderBy("rank")
 
     def summary(self) -> DataFrame:
-        """How many documents and terms there are."""
-        return self.docs.agg(F.count(F.lit(1)).alias("documents")).select("documents", self.terms.agg(F.count(F.lit(1))).scalar().alias("terms"))
+        """How many documents and terms there are, and how many seconds the build took."""
+        return self.stats.select(F.col("n").cast("bigint").alias("documents"), "terms", "seconds")
+
+    def read_doc(self, doc_id: str) -> DataFrame:
+        """The record of one document; the table is sorted by number, so the filter prunes its files and row groups."""
+        return self.docs.where(F.col("doc_id") == doc_id)
 
-    def read_doc(self, raw: DataFrame, doc_id: str) -> DataFrame:
-        """The raw chunk of one document."""
-        return raw.where(fields.doc_number(F.col("chunk")) == doc_id)
+
+def query_list(results: DataFrame) -> DataFrame:
+    """The queries there are results for, sorted."""
+    return results.select("query_id").distinct().orderBy("query_id")
+
+
+def read_chunk(raw: DataFrame, doc_id: str) -> DataFrame:
+    """The raw chunk of one document of a corpus; a plain search for the number goes before the exact field."""
+    return raw.where(F.contains("chunk", F.lit(doc_id)) & (fields.doc_number(F.col("chunk")) == doc_id))
 
 
 def facet(docs: DataFrame, column: str) -> DataFrame:
@@ -76,17 +103,27 @@ def build(docs: DataFrame, gazetteer: DataFrame, stop_words: DataFrame, folder:
 
     The term occurrences are written once and feed all other tables.
     """
-    spark = docs.sparkSession
+    began = time.monotonic()
     stop = grammar.stop_set(stop_words)
     occ = sinks.write(ix.occurrences(docs, stop, stem, month_first), folder, "occurrences", stem)
+    return assemble(docs, occ, gazetteer, stop_words, folder, stem, month_first, began)
+
+
+def assemble(docs: DataFrame, occ: DataFrame, gazetteer: DataFrame, stop_words: DataFrame, folder: str, stem: bool = False, month_first: bool = False, began: float | None = None) -> Index:
+    """All tables of an index from the documents and their term occurrences."""
+    began = time.monotonic() if began is None else began
+    spark = docs.sparkSession
     posts = sinks.write(ix.postings(occ), folder, "postings", stem, by="term")
     terms = sinks.write(ix.dictionary(occ), folder, "terms", stem, by="term")
     about = docs.drop("text").join(ix.doc_stats(posts), "doc_id", "left").na.fill({"max_tf": 1, "length": 0, "n_terms": 0})
-    sinks.write(about, folder, "docs", stem)
-    cities = sinks.write(ix.corpus_cities(docs, gazetteer), folder, "cities", stem, by="city")
-    sinks.write(ix.city_mentions(occ, cities), folder, "mentions", stem, by="city")
+    about = sinks.write(about, folder, "docs", stem, by="doc_id")
+    sinks.write(rk.entries(posts, about), folder, "entries", stem, by="key")
+    places = sinks.write(ix.corpus_cities(docs, gazetteer), folder, "cities", stem, by="city")
+    sinks.write(ix.city_mentions(occ, places), folder, "mentions", stem, by="city")
     sinks.write(ix.entities(posts, terms), folder, "entities", stem)
     sinks.write(stop_words.select(F.col(stop_words.columns[0]).alias("word")), folder, "stop_words", stem)
+    n_terms = terms.agg(F.count(F.lit(1))).scalar()
+    sinks.write(rk.statistics(about).select("*", n_terms.alias("terms"), F.lit(time.monotonic() - began).alias("seconds")), folder, "stats", stem)
     return load(spark, folder, stem, month_first)
 
 

@@ -25,12 +25,6 @@ def clean_token(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, f"^[{_CLASS}]+", ""), f"(.)[{_CLASS}]+\\z", "$1")
 
 
-def strip_ordinal(token: Column) -> Column:
-    """``13th`` becomes ``13``; other tokens that begin with a digit lose all up to a closing bracket."""
-    digit = token.rlike("^\\p{Nd}")
-    return F.when(digit & token.rlike("..th\\z") & (F.length(token) > 2), F.regexp_replace(token, "th\\z", "")).when(digit, F.substring_index(token, ")", -1)).otherwise(token)
-
-
 def is_word(token: Column) -> Column:
     """Letters only."""
     return token.rlike("^\\p{L}+\\z")
@@ -47,13 +41,6 @@ def month_number(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in MONTHS.items() for x in p]), F.lower(name))
 
 
-def date_text(day: Column, month: Column, year: Column) -> Column:
-    """YYYY-MM-DD, YYYY-MM or MM-DD from strings, blank where not given; years under 100 are of the 1900s."""
-    full = F.when(year.rlike("^0*[1-9][0-9]?\\z") & (year.cast("int") < 100), F.concat(F.lit("19"), year)).otherwise(year)
-    padded = F.when(F.length(day) == 1, F.concat(F.lit("0"), day)).otherwise(day)
-    return F.concat_ws("-", *[F.when(c != "", c) for c in (full, month, padded)])
-
-
 def short_population(value: Column) -> Column:
     """A population as K, M or B; blank up to a thousand."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grammar
+from tidemark.runtime import materialize
 
 
 def occurrences(docs: DataFrame, stop: frozenset[str] = frozenset(), stemmed: bool = False, month_first: bool = False) -> DataFrame:
@@ -22,8 +23,11 @@ def postings(occ: DataFrame) -> DataFrame:
 
 
 def merge_postings(parts: DataFrame) -> DataFrame:
-    """Partial postings (term, doc_id, tf) of several chunks as one, with the true df."""
-    whole = parts.groupBy("term", "doc_id").agg(F.sum("tf").cast("bigint").alias("tf"))
+    """Partial postings (term, doc_id, tf) of several chunks as one, with the true df.
+
+    The merged rows are written down once and feed both the counts and the result.
+    """
+    whole = materialize(parts.groupBy("term", "doc_id").agg(F.sum("tf").cast("bigint").alias("tf")), "merged")
     df = whole.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return whole.join(df, "term")
 

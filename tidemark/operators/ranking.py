@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grammar
 
-#: Query terms, counted, up to which they are broadcast (about 50 bytes each).
-BROADCAST_ROWS = 500_000
 # Fixed values of the ranking formula.
 BM25_WEIGHT, COSINE_WEIGHT, K, B, SMOOTH, DEPTH = 0.7, 0.3, 1.2, 0.75, 0.5, 50
 
@@ -24,7 +22,7 @@ def query_terms(queries: DataFrame, stop: frozenset[str] = frozenset(), stemmed:
     """Weighted terms of queries (query_id, title, descr), read like texts."""
 
     def of(c: str) -> DataFrame:
-        return queries.select("query_id", F.explode(grammar.terms(F.col(c), stop, stemmed, month_first)).alias("t")).select("query_id", F.col("t.term").alias("term"))
+        return grammar.emitted(queries, ["query_id"], c, stop, stemmed, month_first).select("query_id", "term")
 
     return weights(of("title"), of("descr"))
 
@@ -52,39 +50,56 @@ def cosine_weight(n: Column, df: Column, tf: Column, max_tf: Column) -> Column:
     return F.log2(n / df) * tf / max_tf
 
 
+def entries(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Postings with all that a search needs: key (the lower-cased term), doc_id, tf, df, length, max_tf.
+
+    Made once when an index is built, so that a search joins nothing but its own terms.
+    """
+    whole = posts.groupBy(F.lower("term").alias("key"), "doc_id").agg(F.sum("tf").cast("double").alias("tf"))
+    df = posts.select(F.lower("term").alias("key"), "doc_id").distinct().groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    about = docs.select("doc_id", F.col("length").cast("double").alias("length"), F.col("max_tf").cast("double").alias("max_tf"))
+    return whole.join(df, "key").join(about, "doc_id").select("key", "doc_id", "tf", "df", "length", "max_tf")
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """Number and mean length of the whole collection, one row."""
+    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
+
+
 def scores(qterms: DataFrame, posts: DataFrame, docs: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """query_id, doc_id, bm25, cosine and score of every document with a query term.
+    """query_id, doc_id, bm25, cosine and score of every document with a query term, from plain postings (term, doc_id, tf).
 
     ``docs`` (doc_id, length, max_tf) is the whole collection, which the statistics
-    are taken over; ``candidates`` restricts the results. df is counted from the
-    postings of the queries' terms only, cut down by a semi join before anything is
-    shuffled.
+    are taken over; ``candidates`` restricts the results. The postings are cut down to
+    the queries' terms before anything is shuffled.
     """
-    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
     wanted = qterms.select("term").distinct()
-    hit = posts.select(F.lower("term").alias("term"), "doc_id", "tf").join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.sum("tf").cast("double").alias("tf"))
-    # By document and in a fixed number of parts: the fan-out to queries and the sums per document need no further shuffle.
-    spark = posts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    held = F.broadcast if qterms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda x: x)
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    found = qterms.join(df, "term")
-    norm = found.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
-    about = docs.select("doc_id", F.col("length").cast("double").alias("length"), F.col("max_tf").cast("double").alias("max_tf"))
+    some = posts.withColumn("term", F.lower("term")).join(wanted, "term", "left_semi")
+    return score_entries(qterms, entries(some, docs), statistics(docs), candidates)
+
+
+def score_entries(qterms: DataFrame, stored: DataFrame, stats: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """The same from ``entries``: one pass over those of the queries' terms, one exchange for the sums per document."""
+    found = stored.join(qterms.withColumnRenamed("term", "key"), "key")
+    known = found.groupBy("query_id", "key").agg(F.max("weight").alias("weight"))
+    norm = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
     if candidates is not None:
-        about = about.join(candidates.select("doc_id"), "doc_id", "left_semi")
-    n, mean = stats.select("n").scalar(), stats.select("mean").scalar()
-    rows = hit.repartition(parts, "doc_id").join(about, "doc_id").join(held(found), "term")
-    rows = rows.select("query_id", "doc_id", "weight", bm25(n, F.col("df"), F.col("tf"), F.col("length"), mean).alias("b"), cosine_weight(n, F.col("df"), F.col("tf"), F.col("max_tf")).alias("w"))
+        found = found.join(candidates.select("doc_id"), "doc_id", "left_semi")
+    whole = stats.select(F.struct("n", "mean").alias("s")).scalar()
+    n, mean = whole.getField("n"), whole.getField("mean")
+    rows = found.select("query_id", "doc_id", "weight", bm25(n, F.col("df"), F.col("tf"), F.col("length"), mean).alias("b"), cosine_weight(n, F.col("df"), F.col("tf"), F.col("max_tf")).alias("w"))
     sums = rows.groupBy("query_id", "doc_id").agg(F.sum("b").alias("bm25"), F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
     cosine = F.coalesce(F.try_divide(F.col("dot"), F.col("d_norm") * F.col("q_norm")), F.lit(0.0))
-    scored = sums.join(held(norm), "query_id").select("query_id", "doc_id", "bm25", cosine.alias("cosine"))
+    scored = sums.join(norm, "query_id").select("query_id", "doc_id", "bm25", cosine.alias("cosine"))
     return scored.withColumn("score", BM25_WEIGHT * F.col("bm25") + COSINE_WEIGHT * F.col("cosine"))
 
 
 def top(scored: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """The best documents of every query, equal scores by doc_id; the window is cut per partition before its shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    """The best documents of every query; scores equal to six places go by doc_id, so that the order of a sum never decides.
+
+    The window is cut per partition before its shuffle.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
 
 

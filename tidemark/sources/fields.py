@@ -104,11 +104,15 @@ def text(chunk: Column) -> Column:
 
 
 def documents(chunks: DataFrame) -> DataFrame:
-    """One row per document of chunks (path, ord, chunk); of a repeated number the last stays."""
+    """One row per document of chunks (path, ord, chunk); of a repeated number the last stays.
+
+    The last place of every number is found without the texts, which then need not be sorted.
+    """
     c = F.col("chunk")
-    found = chunks.select("path", "ord", doc_number(c).alias("doc_id"), title(c).alias("title"), language(c).alias("language"), date(c).alias("date"), city_prefixes(c).alias("city_prefixes"), text(c).alias("text")).where("doc_id <> ''")
-    names = [x for x in found.columns if x != "doc_id"]
-    return found.groupBy("doc_id").agg(F.max_by(F.struct(*names), F.struct("path", "ord")).alias("r")).select("doc_id", "r.*")
+    numbered = chunks.withColumn("doc_id", doc_number(c)).where("doc_id <> ''")
+    last = numbered.groupBy("doc_id").agg(F.max(F.struct("path", "ord")).alias("at")).select(F.col("at.path").alias("path"), F.col("at.ord").alias("ord"))
+    kept = numbered.join(last, ["path", "ord"], "left_semi")
+    return kept.select("doc_id", "path", "ord", title(c).alias("title"), language(c).alias("language"), date(c).alias("date"), city_prefixes(c).alias("city_prefixes"), text(c).alias("text"))
 
 
 def with_city(docs: DataFrame, gazetteer: DataFrame) -> DataFrame:

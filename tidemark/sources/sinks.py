@@ -33,6 +33,19 @@ def remove(spark: SparkSession, folder: str, name: str, stem: bool = False) -> N
 
 
 def write_run(results: DataFrame, path: str, query_id: str | None = None) -> None:
-    """Write the run lines of all queries, or of one, as text."""
+    """Write the run lines of all queries, or of one, as one text file of that name.
+
+    A run has at most a few lines per query. They are written in parts beside the
+    file, put together without passing through the driver's Python, and moved there.
+    """
     rows = results if query_id is None else results.where(F.col("query_id") == query_id)
-    run_lines(rows).write.mode("overwrite").text(path)
+    parts = f"{path.rstrip('/')}.parts"
+    run_lines(rows).coalesce(1).write.mode("overwrite").text(parts)
+    spark = results.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, target = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    (part,) = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    fs.delete(target, True)
+    fs.rename(part, target)
+    fs.delete(folder, True)
