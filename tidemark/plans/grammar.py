@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import engine
 from tidemark.functions import grammar
 from tidemark.functions import tokens as tk
 from tidemark.operators import index as ix
@@ -12,10 +13,18 @@ from tidemark.runtime import spread, table
 from tidemark.sources import corpus, fields
 
 
-def _count(df: DataFrame, text: Column) -> DataFrame:
+def _count(df: DataFrame, text: Column, month_first: bool = False) -> DataFrame:
     """How often the grammar emits each term for the texts; equal texts are read once."""
     texts = df.select(text.alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
-    return grammar.emitted(texts, ["times"], "text").groupBy("term").agg(F.sum("times").alias("n"))
+    return grammar.emitted(texts, ["times"], "text", month_first=month_first).groupBy("term").agg(F.sum("times").alias("n"))
+
+
+def _by_line(*shapes: Column) -> Column:
+    """One of the shapes by the line's number."""
+    out = shapes[-1]
+    for i, c in enumerate(shapes[:-1]):
+        out = F.when(F.col("l_linenumber") % len(shapes) == i, c).otherwise(out)
+    return out
 
 
 def _whole(c: str) -> Column:
@@ -69,6 +78,64 @@ def date_terms(spark: SparkSession, sf: str) -> DataFrame:
     return _count(o, shape)
 
 
+def _lines(spark: SparkSession, sf: str) -> tuple[DataFrame, Column, Column]:
+    return table(spark, sf, "lineitem"), _whole("l_quantity"), F.col("l_linenumber").cast("string")
+
+
+def ordinal_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Ordinals before a month, a number behind a bracket, and ordinals that are dropped."""
+    t, q, n = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(q, F.lit("th May")), F.concat(n, F.lit(")"), q), F.concat(q, F.lit("nd"))))
+
+
+def float_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Decimals and exponents in compounds and ranges."""
+    t, q, _ = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(F.lit("Mk-"), q, F.lit(".5")), F.concat(q, F.lit(".5-"), q, F.lit("e2"))))
+
+
+def dropped_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Double hyphens and mixed compounds, of which nothing is kept."""
+    t, q, n = _lines(spark, sf)
+    return _count(t, F.concat(F.lit("ships--"), q, F.lit(" B-"), q, F.lit("s "), n, F.lit("x-y"), n, F.lit(" end")))
+
+
+def day_range_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of days of a month, and ranges of three numbers."""
+    t, q, n = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(n, F.lit("-"), q, F.lit(" July")), F.concat(n, F.lit("-"), q, F.lit("-"), (F.col("l_orderkey") % 10).cast("string"))))
+
+
+def scaled_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Dollars with a scale, joined or not, and trillions."""
+    t, q, _ = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(F.lit("$"), q, F.lit("-million")), F.concat(F.lit("$"), q, F.lit(" billion")), F.concat(F.lit("$"), q, F.lit(" trillion")), F.concat(q, F.lit(" trillion"))))
+
+
+def dotted_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates with dots."""
+    t, q, n = _lines(spark, sf)
+    return _count(t, F.concat(q, F.lit("."), n, F.lit(".199"), n))
+
+
+def month_first_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Months before a day or a year, where they are to be read so."""
+    t, q, _ = _lines(spark, sf)
+    return _count(t, F.concat(F.lit("May "), q), month_first=True)
+
+
+def fraction_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Fractions and units behind a number, and dollars in words."""
+    t, q, _ = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(q, F.lit(" 3/4")), F.concat(q, F.lit(" 3/4 Dollars")), F.concat(q, F.lit(" km/h")), F.concat(q, F.lit("000000 Dollars"))))
+
+
+def unit_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands and billions in words and digits, percentages with the sign, amounts that end in m without dollars."""
+    t, q, _ = _lines(spark, sf)
+    return _count(t, _by_line(F.concat(q, F.lit(" thousand")), F.concat(q, F.lit(" billion")), F.concat(q, F.lit("000000000")), F.concat(q, F.lit("%")), F.concat(q, F.lit(" m high"))))
+
+
 def grammar_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of whole documents, stop words left out."""
     stop = grammar.stop_set(table(spark, sf, "stop_words"))
@@ -104,11 +171,12 @@ def number_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Marked-up documents made from the stories' deliveries."""
-    d = table(spark, sf, "docs").where("trim(doc_lang) <> '' and title is not null and received_at is not null")
-    body = F.concat(
-        F.lit("<DOC>\n<DOCNO> "), F.col("doc_id"), F.lit(" </DOCNO>\n<DATE1> "), F.date_format(F.col("received_at"), "d MMM yyyy"), F.lit("* </DATE1>\n<TI>  "), F.col("title"),
-        F.lit(" </TI>\n<F P=104> "), F.coalesce(F.col("city"), F.lit("")), F.lit(" \n<F P=105> "), F.col("doc_lang"), F.lit("\n<TEXT>\nCELLRULE <b>"), F.col("title"), F.lit("</b>\n</TEXT>\n"),
+    """Marked-up documents made from every delivery; what it lacks has no tag."""
+    d = table(spark, sf, "docs").where("doc_id is not null")
+    shown = lambda c, tag, end: F.when(F.col(c).rlike("\\S"), F.concat(F.lit(tag), F.col(c), F.lit(end)))
+    body = F.concat_ws(
+        "\n", F.concat(F.lit("<DOC>\n<DOCNO> "), F.col("doc_id"), F.lit(" </DOCNO>")), F.concat(F.lit("<DATE1> "), F.date_format(F.col("received_at"), "d MMM yyyy"), F.lit("* </DATE1>")),
+        shown("title", "<TI>  ", " </TI>"), shown("city", "<F P=104> ", " "), shown("doc_lang", "<F P=105> ", ""), F.concat(F.lit("<TEXT>\nCELLRULE <b>"), F.coalesce("title", F.lit("")), F.lit("</b>\n</TEXT>\n")),
     )
     files = d.select(F.format_string("f%012d", F.col("rec_id")).alias("path"), body.alias("body"))
     return corpus.split_chunks(files)
@@ -154,6 +222,20 @@ def doc_date(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", fields.date(c).alias("date"))
 
 
+def doc_date1(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates of the other field: month or day first, year only, and unreadable years."""
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 4
+    shown = F.when(k == 0, F.upper(F.date_format("o_orderdate", "MMM d yyyy"))).when(k == 1, F.concat(F.date_format("o_orderdate", "d MMMM yyyy"), F.lit("*"))).when(k == 2, F.date_format("o_orderdate", "'000 000' yyyy")).otherwise(F.date_format("o_orderdate", "d MMM '9?'"))
+    return o.select("o_orderkey", fields.date(F.concat(F.lit("<DOCNO> 1 </DOCNO> <DATE1> "), shown, F.lit(" </DATE1>"))).alias("date"))
+
+
+def story_read(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of one story, found in the corpus by its number."""
+    first = table(spark, sf, "docs").agg(F.min("doc_id")).first()[0]
+    return fields.documents(engine.read_chunk(_whole_chunks(spark, sf), first)).select("doc_id", "title", "language", "date", "text")
+
+
 def topics_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Topics read from query files."""
     t = table(spark, sf, "topics")
@@ -175,16 +257,16 @@ def city_country_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def city_prefix_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Cities of documents by the shortest listed prefix."""
-    d = table(spark, sf, "docs").where("trim(city) <> ''")
-    chunk = F.concat(F.lit("<F P=104> "), F.col("city"), F.lit(" reports today"))
+    """Cities of documents by the shortest listed prefix; blank where none is listed."""
+    d = table(spark, sf, "docs")
+    chunk = F.concat(F.lit("<F P=104> "), F.coalesce("city", F.lit("")), F.lit(" reports today"))
     asked = d.select(F.col("rec_id").alias("doc_id"), fields.city_prefixes(chunk).alias("city_prefixes"))
-    return fields.with_city(asked, table(spark, sf, "cities")).where("city <> ''").select(F.col("doc_id").alias("rec_id"), F.lower("city").alias("city"))
+    return fields.with_city(asked, table(spark, sf, "cities")).select(F.col("doc_id").alias("rec_id"), F.lower("city").alias("city"))
 
 
 def population_format(spark: SparkSession, sf: str) -> DataFrame:
     """Populations in short form."""
-    v = (F.floor("s_acctbal") * 125).cast("double")
+    v = (F.floor("s_acctbal") * F.element_at(F.array(F.lit(125), F.lit(1_250_000), F.lit(12_500_000_000)), (F.col("s_suppkey") % 3 + 1).cast("int"))).cast("double")
     return table(spark, sf, "supplier").select("s_suppkey", tk.short_population(v).alias("population"))
 
 
@@ -197,8 +279,8 @@ def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        money_terms, dollar_terms, percent_terms, magnitude_terms, range_terms, between_terms, hyphen_terms, slash_terms, date_terms, grammar_terms, grammar_stemmed, clean_tokens, word_filter,
-        number_filter, sgml_fields, sgml_documents, doc_date, topics_parse, gazetteer_first, city_country_join, city_prefix_match, population_format, synonym_expand,
+        money_terms, dollar_terms, percent_terms, magnitude_terms, range_terms, between_terms, hyphen_terms, slash_terms, date_terms, ordinal_terms, float_terms, dropped_terms, day_range_terms, scaled_terms, dotted_terms, month_first_terms, fraction_terms, unit_terms, grammar_terms, grammar_stemmed, clean_tokens, word_filter,
+        number_filter, sgml_fields, sgml_documents, story_read, doc_date, doc_date1, topics_parse, gazetteer_first, city_country_join, city_prefix_match, population_format, synonym_expand,
     )
 }
 
@@ -211,6 +293,22 @@ k AS (SELECT token, count(*) AS n FROM c WHERE token <> '' GROUP BY token)
 _SCALED = "CASE WHEN {v} % {d} = 0 THEN CAST({v} // {d} AS VARCHAR) ELSE CAST({v} / {d}e0 AS VARCHAR) END"
 _TALLY = "SELECT term, count(*) AS n FROM ({}) GROUP BY term"
 _Q = "CAST(floor(l_quantity) AS BIGINT)"
+_LINE = f"(SELECT {_Q} AS q, l_linenumber AS n, l_orderkey AS k FROM lineitem)"
+
+
+def _tally(terms: str) -> str:
+    """The count of every term of a list that is made from a line."""
+    return f"SELECT term, count(*) AS n FROM (SELECT unnest({terms}) AS term FROM {_LINE}) WHERE term IS NOT NULL GROUP BY term"
+
+
+_STORY = r"""
+WITH texts AS (
+  SELECT doc_id, array_to_string(list_filter(string_split_regex(max(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''), ' ') AS text
+  FROM doc_text GROUP BY doc_id)
+SELECT doc_id, coalesce(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, CASE WHEN w IS NULL OR lower(w) = 'the' THEN '' ELSE upper(w[1]) || lower(w[2:]) END AS language,
+  coalesce(strftime(received_at, '%Y-%m-%d'), '') AS date, {text} AS text
+FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE doc_id IS NOT NULL)
+LEFT JOIN texts USING (doc_id) WHERE k = 1"""
 
 ORACLE = {
     "money_terms": _TALLY.format("SELECT CASE WHEN v > 1000000 THEN " + _SCALED.format(v="v", d=1000000) + " || ' M Dollars' ELSE v || ' Dollars' END AS term FROM (SELECT CAST(floor(l_extendedprice) AS BIGINT) * 37 AS v FROM lineitem)"),
@@ -225,28 +323,28 @@ ORACLE = {
     "clean_tokens": _TOKENS + "SELECT token, n FROM k",
     "word_filter": _TOKENS + r"SELECT token, n FROM k WHERE regexp_full_match(token, '\p{L}+')",
     "number_filter": _TOKENS + r"SELECT token, n FROM (SELECT token, n, replace(token, '$', '') AS t FROM k) WHERE regexp_full_match(t, '[0-9][0-9,]*(\.[0-9,]*)?%?|[0-9,.]*/[0-9]+%?|[0-9,%/]*\.?[0-9,%/]*(m|bn)') AND regexp_matches(t, '[0-9]') AND NOT regexp_matches(t, '\..*\.')",
-    "sgml_fields": r"""
-SELECT doc_id, title, CASE WHEN l = 'The' THEN '' ELSE l END AS language, date, rtrim('b ' || title) || ' /b' AS text FROM (
-  SELECT doc_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title,
-    upper(w[1]) || lower(w[2:]) AS l, strftime(received_at, '%Y-%m-%d') AS date
-  FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE trim(doc_lang) <> '' AND title IS NOT NULL AND received_at IS NOT NULL) WHERE k = 1)""",
-    "sgml_documents": r"""
-WITH texts AS (
-  SELECT doc_id, array_to_string(list_filter(string_split_regex(max(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> ''), ' ') AS text
-  FROM doc_text GROUP BY doc_id)
-SELECT doc_id, coalesce(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, CASE WHEN w IS NULL OR lower(w) = 'the' THEN '' ELSE upper(w[1]) || lower(w[2:]) END AS language,
-  coalesce(strftime(received_at, '%Y-%m-%d'), '') AS date, coalesce(text, '') AS text
-FROM (SELECT *, string_split_regex(trim(doc_lang), '\s+')[1] AS w, row_number() OVER (PARTITION BY doc_id ORDER BY rec_id DESC) AS k FROM docs WHERE doc_id IS NOT NULL)
-LEFT JOIN texts USING (doc_id) WHERE k = 1""",
+    "sgml_fields": _STORY.replace("{text}", r"rtrim('b ' || coalesce(trim(regexp_replace(title, '\s+', ' ', 'g')), '')) || ' /b'"),
+    "sgml_documents": _STORY.replace("{text}", "coalesce(text, '')"),
+    "story_read": _STORY.replace("{text}", "coalesce(text, '')") + " AND doc_id = (SELECT min(doc_id) FROM docs)",
+    "doc_date1": "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders",
+    "ordinal_terms": _tally("[CASE n % 3 WHEN 0 THEN CASE WHEN q > 31 THEN '19' || q || '-05' ELSE '05-' || lpad(CAST(q AS VARCHAR), 2, '0') END WHEN 1 THEN CAST(q AS VARCHAR) END]"),
+    "float_terms": _tally("CASE WHEN n % 2 = 0 THEN ['mk-' || q || '.5'] ELSE [q || '.5-' || q || 'e2', q || '.5', q || 'e2'] END"),
+    "dropped_terms": "SELECT 'end' AS term, count(*) AS n FROM lineitem",
+    "day_range_terms": _tally("CASE WHEN n % 2 = 0 THEN ['07-0' || n, '07-' || lpad(CAST(q AS VARCHAR), 2, '0')] ELSE [n || '-' || q || '-' || k % 10, CAST(n AS VARCHAR), CAST(q AS VARCHAR), CAST(k % 10 AS VARCHAR)] END"),
+    "scaled_terms": _tally("[CASE n % 4 WHEN 0 THEN q || ' M Dollars' WHEN 1 THEN q * 1000 || ' M Dollars' WHEN 2 THEN q * 1000000 || ' M Dollars' ELSE q * 1000 || 'B' END]"),
+    "dotted_terms": _tally("['199' || n || '-' || n || '-' || lpad(CAST(q AS VARCHAR), 2, '0')]"),
+    "month_first_terms": _tally("[CASE WHEN q > 31 THEN '19' || q || '-05' ELSE '05-' || lpad(CAST(q AS VARCHAR), 2, '0') END]"),
+    "fraction_terms": _tally("[CASE n % 4 WHEN 0 THEN q || ' 3/4' WHEN 1 THEN q || ' 3/4 Dollars' WHEN 2 THEN q || ' km/h' ELSE q || ' M Dollars' END]"),
+    "unit_terms": _tally("CASE n % 5 WHEN 0 THEN [q || 'K'] WHEN 1 THEN [q || 'B'] WHEN 2 THEN [CASE WHEN q = 1 THEN '1000M' ELSE q || 'B' END] WHEN 3 THEN [q || '%'] ELSE ['m', 'high'] END"),
     "doc_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '19' || strftime(o_orderdate, '%y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders",
     "topics_parse": r"SELECT query_id, trim(regexp_replace(coalesce(title, ''), ' +', ' ', 'g')) AS title, trim(regexp_replace(coalesce(descr, ''), ' +', ' ', 'g')) AS descr FROM topics",
     "gazetteer_first": "SELECT city, iso2 FROM (SELECT lower(city) AS city, desk AS iso2, row_number() OVER (PARTITION BY lower(city) ORDER BY rec_id) AS k FROM docs WHERE trim(city) <> '') WHERE k = 1",
     "city_country_join": "SELECT n_name AS city, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey",
     "city_prefix_match": r"""
-WITH w AS (SELECT rec_id, list_filter(string_split_regex(lower(city || ' reports today'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM docs WHERE trim(city) <> ''),
+WITH w AS (SELECT rec_id, list_filter(string_split_regex(lower(coalesce(city, '') || ' reports today'), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM docs),
 p AS (SELECT rec_id, n, array_to_string(w[:n], ' ') AS city FROM w, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n <= len(w))
-SELECT rec_id, arg_min(city, n) AS city FROM p WHERE city IN (SELECT lower(city) FROM cities) GROUP BY rec_id""",
-    "population_format": "SELECT s_suppkey, CASE WHEN v > 1000000 THEN " + _SCALED.format(v="v", d=1000000) + " || 'M' WHEN v > 1000 THEN " + _SCALED.format(v="v", d=1000) + " || 'K' ELSE '' END AS population FROM (SELECT s_suppkey, CAST(floor(s_acctbal) AS BIGINT) * 125 AS v FROM supplier)",
+SELECT rec_id, coalesce(arg_min(city, n) FILTER (city IN (SELECT lower(city) FROM cities)), '') AS city FROM p GROUP BY rec_id""",
+    "population_format": "SELECT s_suppkey, CASE WHEN v > 100000000000 THEN CASE WHEN v % 100000000000 = 0 THEN CAST(v // 100000000000 * 1000 AS VARCHAR) ELSE CAST(v / 100000000000e0 AS VARCHAR) END || 'B' WHEN v > 1000000000 THEN " + _SCALED.format(v="v", d=1000000000) + " || 'B' WHEN v > 1000000 THEN " + _SCALED.format(v="v", d=1000000) + " || 'M' WHEN v > 1000 THEN " + _SCALED.format(v="v", d=1000) + " || 'K' ELSE '' END AS population FROM (SELECT s_suppkey, CAST(floor(s_acctbal) AS BIGINT) * (CASE s_suppkey % 3 WHEN 0 THEN 125 WHEN 1 THEN 1250000 ELSE 12500000000 END) AS v FROM supplier)",
     "synonym_expand": r"""
 WITH s(word, more) AS (VALUES ('loan', 'credit debt'), ('smelter', 'furnace')),
 w AS (SELECT query_id, generate_subscripts(w, 1) AS place, unnest(w) AS word FROM (SELECT query_id, string_split_regex(title, '\s+') AS w FROM topics WHERE title IS NOT NULL)),

@@ -12,6 +12,7 @@ from tidemark.engine import facet
 from tidemark.functions.grammar import stems
 from tidemark.operators import index as ix
 from tidemark.operators import ranking as rk
+from tidemark.plans.stem_sql import stem_sql
 from tidemark.runtime import register_written, shared_dir, spread, table
 from tidemark.sources import sinks
 from tidemark.streaming import incremental
@@ -330,6 +331,7 @@ SELECT city, doc_id, count(*) AS n, min(pos) AS "first", max(pos) AS "last" FROM
     "facets_language": "SELECT DISTINCT lang FROM documents WHERE trim(lang) <> '' AND NOT regexp_full_match(lang, '[0-9]+')",
     "facets_city": "SELECT DISTINCT city FROM docs WHERE trim(city) <> '' AND NOT regexp_full_match(city, '[0-9]+')",
     "query_list": "SELECT DISTINCT query_id FROM topics",
+    "stem_terms": "SELECT word AS term, stem FROM (" + stem_sql("(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents)") + ")",
     "streamed_postings": r"""
 WITH d AS (SELECT doc_id, max(text) AS text FROM doc_text GROUP BY doc_id),
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS t FROM d),
