@@ -100,7 +100,7 @@ def map_values(
     names under 5, 8 and 14 letters and longer ones.
     """
     spark = values.sparkSession
-    # A fixed number of partitions by form: what follows fans out by the index and keeps this partitioning to the end.
+    # A fixed number of partitions by form, as small forms become many n-grams.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     v = values.select(F.col(f"`{value}`").alias("v")).where(F.col("v").isNotNull()).distinct()
     f = F.col("f")
@@ -136,9 +136,9 @@ def map_values(
     # The broadcast is decided by the counted size of the index; a larger reference list is joined by shuffle, with the same result.
     held = F.broadcast if index.count() <= INDEX_BROADCAST_ROWS else (lambda x: x)
 
-    forms = pairs.select("form").distinct().repartition(parts, "form")
+    forms = pairs.select("form").repartition(parts, "form").distinct()
     asked = forms.select("form", F.explode(_grams(F.col("form"))).alias("g")).groupBy("form", "g").agg(F.count(F.lit(1)).alias("tf"))
-    vectors = unit(asked.join(held(index.select("g", "w").distinct()), "g", "left").withColumn("w", F.coalesce("w", F.lit(top))), "form")
+    vectors = materialize(unit(asked.join(held(index.select("g", "w").distinct()), "g", "left").withColumn("w", F.coalesce("w", F.lit(top))), "form"), "vectors")
     # Two vectors that reach the threshold share an n-gram before which neither has used up all but the threshold's square.
     needed = F.col("left") >= threshold * threshold - 1e-9
     met = vectors.where(needed).select("form", "g").join(held(index.where(needed).select("g", "aid")), "g").select("form", "aid").distinct()
