@@ -100,7 +100,7 @@ def map_values(
     names under 5, 8 and 14 letters and longer ones.
     """
     spark = values.sparkSession
-    # A fixed number of partitions by form, as small forms become many n-grams.
+    # A fixed number of partitions by form: what follows fans out by the index and keeps this partitioning to the end.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     v = values.select(F.col(f"`{value}`").alias("v")).where(F.col("v").isNotNull()).distinct()
     f = F.col("f")
@@ -138,11 +138,14 @@ def map_values(
 
     forms = pairs.select("form").repartition(parts, "form").distinct()
     asked = forms.select("form", F.explode(_grams(F.col("form"))).alias("g")).groupBy("form", "g").agg(F.count(F.lit(1)).alias("tf"))
-    vectors = materialize(unit(asked.join(held(index.select("g", "w").distinct()), "g", "left").withColumn("w", F.coalesce("w", F.lit(top))), "form"), "vectors")
-    # Two vectors that reach the threshold share an n-gram before which neither has used up all but the threshold's square.
-    needed = F.col("left") >= threshold * threshold - 1e-9
-    met = vectors.where(needed).select("form", "g").join(held(index.where(needed).select("g", "aid")), "g").select("form", "aid").distinct()
-    dot = met.join(vectors.select("form", "g", "x"), "form").join(held(index.select("aid", "g", F.col("x").alias("y"))), ["aid", "g"]).groupBy("form", "aid").agg(F.sum(F.col("x") * F.col("y")).alias("cos"))
+    vectors = unit(asked.join(held(index.select("g", "w").distinct()), "g", "left").withColumn("w", F.coalesce("w", F.lit(top))), "form")
+    # From each side the rarest n-grams are looked up, up to those with half the threshold's square left. What two vectors share
+    # beyond them is worth at most half the threshold, so what they share among them must be worth the other half.
+    half = threshold / 2
+    needed = F.col("left") >= half * half - 1e-9
+    part = F.sum(F.col("x") * F.col("y"))
+    met = vectors.where(needed).select("form", "g", "x").join(held(index.where(needed).select("g", "aid", F.col("x").alias("y"))), "g").groupBy("form", "aid").agg(part.alias("part")).where(F.col("part") >= half - 1e-9)
+    dot = met.select("form", "aid").join(vectors.select("form", "g", "x"), "form").join(held(index.select("aid", "g", F.col("x").alias("y"))), ["aid", "g"]).groupBy("form", "aid").agg(part.alias("cos"))
     scored = dot.where(F.col("cos") >= threshold).join(held(names), "aid").withColumn("slips", _slips(F.col("form"), F.col("alias"))).withColumn("core", F.least(F.length("form"), F.length("alias")))
 
     best = pairs.join(scored, "form").groupBy("v", "rid").agg(F.max(F.struct("cos", (-F.col("slips")).alias("neg"), "core")).alias("m")).select("v", "rid", "m.cos", (-F.col("m.neg")).alias("slips"), "m.core")
