@@ -101,13 +101,13 @@ def named_zone(value: Column) -> Column:
     return F.regexp_extract(F.trim(value), "[\\[( ]([A-Z][A-Za-z]+(?:/[A-Za-z0-9_+-]+)+)[\\])]?$", 1)
 
 
-def parse(df: DataFrame, value: str, order: Column) -> DataFrame:
+def parse(df: DataFrame, value: str, order: Column, noise: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with the struct ``_p``: y, mo, d, us (time of day), off (minutes), abbr, zone, kind, epoch.
 
     ``kind`` is time, date, year, month_day or null for what can't be read.
     """
     s = F.trim(F.regexp_replace(F.col(f"`{value}`"), "[\\s\\u00a0]+", " "))
-    s = F.regexp_replace(s, "^(?i:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? (?=[0-9A-Za-z])|,? \\p{L}+ Edition$|\\*+$", "")
+    s = F.regexp_replace(s, "^(?i:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? (?=[0-9A-Za-z])|" + "".join(f"{x}|" for x in noise) + "\\*+$", "")
     s = F.regexp_replace(s, "^(\\d{2})(\\d{2})(\\d{2})Z ([A-Za-z]{3,9}) (\\d{4}|\\d{2})$", "$1 $4 $5 $2:$3Z")
     s = F.regexp_replace(s, " (\\d{2})(\\d{2}) ?(?:hrs?|hours)$", " $1:$2")
     s = F.regexp_replace(s, "^(\\d{4})(\\d{2})(\\d{2})T(\\d{2})(\\d{2})(\\d{2})?", "$1-$2-$3T$4:$5:$6")
@@ -182,7 +182,7 @@ def utc_text(us: Column) -> Column:
     return F.concat(F.date_from_unix_date(days.cast("int")).cast("string"), F.lit("T"), clock, F.lit("Z"))
 
 
-def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFrame, zones: DataFrame, out: str = "norm_date", status: str = "date_status") -> DataFrame:
+def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFrame, zones: DataFrame, out: str = "norm_date", status: str = "date_status", noise: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``value`` in one unambiguous form and how it was reached.
 
     ``zone`` and ``order`` (DMY or MDY) are the columns to fall back on, ``abbrevs``
@@ -191,14 +191,15 @@ def normalize(df: DataFrame, value: str, zone: str, order: str, abbrevs: DataFra
     dates as precise as given. Status: exact, ambiguous or nonexistent (both take the
     offset in force before the change), date, year, month_day, or unresolved with a
     null result: null, blank or unreadable values, impossible dates, unknown zones or
-    abbreviations, times without any zone. Columns named like ``out`` or ``status``
+    abbreviations, times without any zone. ``noise`` are patterns of the caller's own
+    data that are cut from values first. Columns named like ``out`` or ``status``
     are kept, the new ones are then lengthened by ``_``. Every row comes out once.
     """
     out = fresh(out, df.columns)
     status = fresh(status, [*df.columns, out])
     # The row goes along as one value, so its columns can have any names.
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    p = parse(df.select(row.alias("_row"), F.col(f"`{value}`").alias("_value"), F.col(f"`{zone}`").alias("_fallback"), F.col(f"`{order}`").alias("_order")), "_value", F.col("_order"))
+    p = parse(df.select(row.alias("_row"), F.col(f"`{value}`").alias("_value"), F.col(f"`{zone}`").alias("_fallback"), F.col(f"`{order}`").alias("_order")), "_value", F.col("_order"), noise)
     ab = abbrevs.where("abbr is not null").select(F.col("abbr").alias("_a"), F.col("offset_minutes").cast("bigint").alias("_am")).dropDuplicates(["_a"])
     p = p.join(ab, F.col("_p.abbr") == F.col("_a"), "left")
     fixed = F.coalesce(F.col("_p.off"), F.col("_am"))

@@ -9,13 +9,17 @@ from tidemark.operators import timestamps
 from tidemark.runtime import table
 
 
+#: What desks write behind a date and means no date.
+EDITION = (r",? \p{L}+ Edition$",)
+
+
 def p2_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Every delivery's date in one unambiguous form, and how it was reached."""
     desks = table(spark, sf, "desks")
     docs = table(spark, sf, "docs").select("rec_id", "doc_date", "desk")
     habit = docs.join(desks.dropDuplicates(["desk"]), "desk", "left")
     zones = desks.select(F.col("tz").alias("zone"))
-    done = timestamps.normalize(habit, "doc_date", "tz", "day_order", table(spark, sf, "tz_abbrevs"), zones)
+    done = timestamps.normalize(habit, "doc_date", "tz", "day_order", table(spark, sf, "tz_abbrevs"), zones, noise=EDITION)
     return done.select("rec_id", "doc_date", "norm_date", "date_status")
 
 
