@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from tidemark.functions import grammar
 from tidemark.operators import index as ix
 from tidemark.operators import ranking as rk
+from tidemark.runtime import materialize
 from tidemark.sources import corpus, fields
 from tidemark.sources import sinks
 
 TABLES = ("docs", "postings", "entries", "stats", "terms", "cities", "mentions", "entities", "stop_words")
 #: Distinct terms of one query that are pushed down to the scan of the entries; a longer one is joined.
 PUSHED_TERMS = 1_000
+#: From so many queries on, the documents meet all queries in slices instead of being joined with each.
+BATCH_QUERIES = 100
 
 
 @dataclass
@@ -67,7 +70,14 @@ class Index:
 
     def search_topics(self, topics: DataFrame, languages: list[str] | None = None, cities: list[str] | None = None, synonyms: DataFrame | None = None, depth: int = rk.DEPTH) -> DataFrame:
         """The best documents of every topic (query_id, title, descr), in one plan."""
-        return rk.top(self.scored(self.weighted(topics, synonyms), languages, cities), depth).select("query_id", "rank", "doc_id", "score")
+        qterms = self.weighted(topics, synonyms)
+        queries = topics.select("query_id").limit(BATCH_QUERIES).count()
+        if queries < BATCH_QUERIES:
+            ranked = rk.top(self.scored(qterms, languages, cities), depth)
+        else:
+            only = rk.allowed(self.docs, self.mentions, languages, cities) if languages or cities else None
+            ranked = rk.top_batch(materialize(qterms, "asked"), self.entries, self.stats, topics.count(), depth, only)
+        return ranked.select("query_id", "rank", "doc_id", "score")
 
     def key_entities(self, doc_id: str) -> DataFrame:
         """The key entities of one document."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import grammar
+from tidemark.operators import batch
 
 # Fixed values of the ranking formula.
 BM25_WEIGHT, COSINE_WEIGHT, K, B, SMOOTH, DEPTH = 0.7, 0.3, 1.2, 0.75, 0.5, 50
@@ -103,6 +104,11 @@ def top(scored: DataFrame, depth: int = DEPTH) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)
 
 
+def top_batch(qterms: DataFrame, stored: DataFrame, stats: DataFrame, queries: int, depth: int = DEPTH, candidates: DataFrame | None = None) -> DataFrame:
+    """``top`` of ``score_entries`` for many queries, without a row for each query, term and document."""
+    return top(batch.best(qterms, stored, stats, queries, depth, (BM25_WEIGHT, COSINE_WEIGHT, K, B, SMOOTH), candidates), depth)
+
+
 def run_lines(results: DataFrame) -> DataFrame:
     """Results as lines of a run file, in order."""
     return results.orderBy("query_id", "rank").select(F.format_string("%s 0 %s 1  2 mt", F.col("query_id").cast("string"), F.col("doc_id").cast("string")).alias("value"))
