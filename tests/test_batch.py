@@ -67,3 +67,10 @@ def test_rows_do_not_multiply(spark, tmp_path):
     before = _written(spark)
     assert index.search_topics(topics, depth=3).count() == 600
     assert _written(spark) - before < 100_000  # 600,000 pairs of a topic and a document
+
+
+def test_answered_is_not_scored(spark, tmp_path, monkeypatch):
+    index = _index(spark, tmp_path, 10)
+    topics = spark.createDataFrame([("q2", "copper", "unheard"), ("q1", "the", "railway"), ("q3", "the", "unheard")], "query_id string, title string, descr string")
+    monkeypatch.setattr(rk, "score_entries", None)
+    assert [r[0] for r in index.answered(topics).collect()] == ["q1", "q2"]

@@ -79,6 +79,10 @@ class Index:
             ranked = rk.top_batch(materialize(qterms, "asked"), self.entries, self.stats, topics.count(), depth, only)
         return ranked.select("query_id", "rank", "doc_id", "score")
 
+    def answered(self, topics: DataFrame) -> DataFrame:
+        """The topics that have results, sorted: those with a term that any document has; nothing is scored for it."""
+        return query_list(self.weighted(topics).join(self.entries.select(F.col("key").alias("term")).distinct(), "term", "left_semi"))
+
     def key_entities(self, doc_id: str) -> DataFrame:
         """The key entities of one document."""
         return self.entities.where(F.col("doc_id") == doc_id).orderBy("rank")

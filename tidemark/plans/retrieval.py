@@ -131,7 +131,7 @@ def batch_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_queries(spark: SparkSession, sf: str) -> DataFrame:
     """The topics that have results."""
-    return engine.query_list(_index(spark, sf).search_topics(_topics(spark, sf)))
+    return _index(spark, sf).answered(_topics(spark, sf))
 
 
 def run_file(spark: SparkSession, sf: str) -> DataFrame:
